@@ -3,7 +3,7 @@
 Documents are ranged by doc_id, encoded and written in that order as segments of about ``segment`` ids. A segment is a whole file image: magic, header
 with its own checksum, one frequency table counted over all its ids and shared by its blocks, document ids and lengths, then independent blocks. A
 block codes its ids in ``lanes`` interleaved states that step together, so both directions run as array operations. It starts with its number of ids,
-words and checkpoints and the CRC-32 of its ids; each checkpoint holds the states and the place in the words after so many steps, so that a block can
+words and checkpoints, the CRC-32 of its ids and that of its states; each checkpoint holds the states and the place in the words after so many steps, so that a block can
 be decoded from several places at once. Segments are written by Spark's own writer as rows of a table in the shared folder: a lost executor's tasks
 run again, and readers see only whole files.
 
@@ -28,7 +28,7 @@ from siltgrain.llm.word_tokens import in_slices, worker_tokenizer
 
 MAGIC = b"STR1"
 HEADER = struct.Struct("<4sIIQIII")  # magic, CRC-32 of all up to the blocks, documents, ids, alphabet, blocks, bytes of the packed tables
-BLOCK = struct.Struct("<IIIII")  # ids, words, lanes, checkpoints, CRC-32 of the ids as little-endian unsigned 32-bit integers
+BLOCK = struct.Struct("<IIIIII")  # ids, words, lanes, checkpoints, CRC-32 of the ids as little-endian unsigned 32-bit integers, CRC-32 of all states
 SCALE = 20  # bits of the frequencies' sum
 LOW = np.uint64(1 << 31)  # states stay in [LOW, LOW << 32)
 NO_ID = -(1 << 63)  # stands for a null doc_id
@@ -75,14 +75,17 @@ def encode_block(ids: np.ndarray, freq: np.ndarray, first: np.ndarray, lanes: in
     points = b"".join(struct.pack("<I", written - w) + s.astype("<u8").tobytes() for w, s in reversed(saved))
     crc = zlib.crc32(ids.astype("<u4").tobytes())
     stream = np.concatenate(words[::-1]) if words else np.zeros(0, "<u4")
-    return BLOCK.pack(n, written, lanes, len(saved), crc) + state.astype("<u8").tobytes() + points + stream.tobytes()
+    states = state.astype("<u8").tobytes() + points
+    return BLOCK.pack(n, written, lanes, len(saved), crc, zlib.crc32(states)) + states + stream.tobytes()
 
 
 def decode_block(blob: memoryview, table: tuple[np.ndarray, np.ndarray, np.ndarray], every: int, at: int = 0) -> tuple[np.ndarray, int]:
     """(ids, bytes read). table: id by slot, frequency and first slot by id. at: decode from this checkpoint on (0: from the start)."""
-    n, written, lanes, points, crc = BLOCK.unpack_from(blob)
+    n, written, lanes, points, crc, states_crc = BLOCK.unpack_from(blob)
     by_slot, freq, first = table
     place, size = BLOCK.size, 8 * lanes
+    if zlib.crc32(blob[place : place + size + points * (4 + size)]) != states_crc:
+        raise ValueError("the states of a block are damaged")
     state = np.frombuffer(blob, "<u8", lanes, place).astype(np.uint64)
     place += size
     word = 0
