@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltgrain.llm import packing, token_files
+from siltgrain.llm import line_crf, packing, quality_rules, token_files, toxicity
 
 
 def word_bpe() -> str:
@@ -18,6 +18,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.7)
+
+
+def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_crf.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.5)
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), word_bpe(), capacity=2048, end_id=0)
 
@@ -26,5 +34,9 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.encode_and_read(_table(spark, sf_dir, "documents"), word_bpe(), end_id=1)
 
 
-QUERIES = {f.__name__: f for f in (op4_best_fit_packing, op5_token_files)}
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(_table(spark, sf_dir, "documents"), threshold=0.5)
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_line_quality, op4_best_fit_packing, op5_token_files, op9_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}
