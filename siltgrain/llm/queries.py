@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltgrain.llm import license_scan, line_crf, packing, quality_rules, secret_scan, token_files, toxicity
+from siltgrain.llm import license_scan, line_crf, near_dedup, packing, quality_rules, secret_scan, token_files, toxicity
 
 
 def word_bpe() -> str:
@@ -34,6 +34,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.encode_and_read(_table(spark, sf_dir, "documents"), word_bpe(), end_id=1)
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(_table(spark, sf_dir, "documents"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_table(spark, sf_dir, "documents"))
 
@@ -46,5 +50,5 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents"), threshold=0.5)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_line_quality, op4_best_fit_packing, op5_token_files, op7_license_scan, op8_secret_scan, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_line_quality, op4_best_fit_packing, op5_token_files, op6_near_dedup, op7_license_scan, op8_secret_scan, op9_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}
