@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from siltgrain.llm.common import Scratch, slices, text_bytes
 from siltgrain.llm.textops import Words, mix, salted, sequences
 
-SHINGLE, THRESHOLD, IDF_SHARE = 5, 0.8, 0.1
+SHINGLE, THRESHOLD, IDF_SHARE = 5, 0.8, 0.05
 BANDS, ROWS = 16, 4
 #: Cells of the count-min sketch: DEPTH rows of 2 ** WIDTH, written in CHUNKS parts.
 DEPTH, WIDTH, CHUNKS = 2, 20, 512
