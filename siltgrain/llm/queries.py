@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siltgrain.llm import license_scan, line_crf, near_dedup, packing, quality_rules, secret_scan, token_files, toxicity
+from siltgrain.llm import ann, license_scan, line_crf, near_dedup, packing, quality_rules, secret_scan, token_files, toxicity
 
 
 def word_bpe() -> str:
@@ -50,5 +51,9 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents"), threshold=0.5)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_line_quality, op4_best_fit_packing, op5_token_files, op6_near_dedup, op7_license_scan, op8_secret_scan, op9_quality_rules)}
+def op10_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_line_quality, op4_best_fit_packing, op5_token_files, op6_near_dedup, op7_license_scan, op8_secret_scan, op9_quality_rules, op10_cross_polytope)}
 ORACLE_SQL: dict[str, str] = {}
