@@ -17,11 +17,6 @@ JENKINS = (0x7ED55D16, 0xC761C23C, 0x165667B1, 0xD3A2646C, 0xFD7046C5, 0xB55A4F0
 LOW = 0xFFFFFFFF
 
 
-def _signed(value: int) -> int:
-    value %= 1 << 64
-    return value - (1 << 64) if value >> 63 else value
-
-
 def add64(a: Column, b: Column) -> Column:
     """a + b modulo 2 ** 64."""
     mask = F.lit(LOW)
@@ -31,14 +26,13 @@ def add64(a: Column, b: Column) -> Column:
 
 
 def mul64(a: Column, factor: int) -> Column:
-    """a * factor modulo 2 ** 64: products of 16-bit and 32-bit parts."""
-    total = F.lit(0).cast("bigint")
-    for i in range(4):
-        part = F.shiftrightunsigned(a, 16 * i).bitwiseAND(F.lit(0xFFFF))
-        for j, half in ((0, factor & LOW), (1, factor >> 32)):
-            if 16 * i + 32 * j < 64:
-                total = add64(total, F.shiftleft(part * F.lit(half), 16 * i + 32 * j))
-    return total
+    """a * factor modulo 2 ** 64: products of 16-bit parts, summed by place, none of which overflows."""
+    x = [F.shiftrightunsigned(a, 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)]
+    y = [F.lit(factor >> 16 * i & 0xFFFF) for i in range(4)]
+    at = [sum((x[i] * y[n - i] for i in range(1, n + 1)), x[0] * y[n]) for n in range(4)]
+    low = at[0] + F.shiftleft(at[1].bitwiseAND(F.lit(0xFFFF)), 16)
+    high = at[2] + F.shiftrightunsigned(at[1], 16) + F.shiftleft(at[3].bitwiseAND(F.lit(0xFFFF)), 16) + F.shiftrightunsigned(low, 32)
+    return F.shiftleft(high, 32).bitwiseOR(low.bitwiseAND(F.lit(LOW)))
 
 
 def _bound(value: Column, steps) -> Column:
