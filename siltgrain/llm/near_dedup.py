@@ -2,16 +2,17 @@
 
 A text is the set of its 5-word shingles (one shingle of all its words if it has fewer), ASCII letters in lower case. A shingle's weight is
 (1 + ln tf) * idf with tf its count in the text and idf = 1 + IDF_SHARE * ln(N / df) / ln N: damped, so that what copies share, which the copies
-themselves make frequent, still outweighs what sets them apart. df is counted over all distinct texts in a count-min sketch of fixed size.
+themselves make frequent, still outweighs what sets them apart. df is counted over all texts in a count-min sketch of fixed size.
 
-1. Texts with equal words are one: the one with the least doc_id stands for all (a hash aggregation with partial sums).
-2. BANDS * ROWS consistent samples of each such text give BANDS bucket keys.
+1. BANDS * ROWS consistent samples of each text give BANDS bucket keys, in one pass over the source.
+2. Texts with equal words are one: the one with the least doc_id stands for all (a hash aggregation with partial sums).
 3. In each bucket the text with the least hash for that band is its centre, so buckets of the same texts have different centres. Each text is
    verified against its centres by the exact weighted Jaccard similarity. Links are the edges of a graph whose components are found by label propagation
    with pointer jumping over tables in the shared folder.
 4. A bucket whose texts are not all in one component is gone over again: each text outside its centre's component is compared with every text of the
-   bucket in another component, by the share of equal samples in blocks, and those not clearly below the threshold are verified exactly. So within a
-   bucket no pair of texts of different components stays uncompared, and no group is held whole by one task.
+   bucket in another component, by the share of equal samples in blocks. First the pairs with the most equal samples are verified exactly, which links
+   most; then, of what is still apart, all that are not clearly below the threshold. So within a bucket no pair of texts of different components stays
+   uncompared, and no group is held whole by one task.
 
 Nothing of all documents comes to the driver but the sketch. Defined results: a null text, or one without words, is in a class of its own; rows with a
 null doc_id are in no class (keep_one keeps them); rows that repeat a doc_id count as one document; an empty table gives no
@@ -178,20 +179,12 @@ class _Sketch:
         return weights(s, self.value.value, self.n_texts)
 
 
-def _keys(docs: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, data, offsets in _batches(batches):
-            keys, n = word_keys(data, offsets)
-            yield pa.RecordBatch.from_arrays([ids, *(pa.array(k.view(np.int64)) for k in keys), pa.array(n)], ["doc_id", "key1", "key2", "n_words"])
-
-    return docs.mapInArrow(run, "doc_id bigint, key1 bigint, key2 bigint, n_words bigint")
-
-
-def _sampled(texts: DataFrame, sketch: _Sketch) -> DataFrame:
-    """doc_id, bands (bucket keys) and the samples' low bytes of each text."""
+def _sampled(docs: DataFrame, sketch: _Sketch) -> DataFrame:
+    """doc_id, two hashes of the words, their number, bands (bucket keys) and the samples' low bytes of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, data, offsets in _batches(batches):
+            keys, n = word_keys(data, offsets)
             s = Shingled(data, offsets)
             found = samples(s, sketch.weights(s))
             bands = np.zeros((len(found), BANDS), np.uint64)
@@ -199,10 +192,10 @@ def _sampled(texts: DataFrame, sketch: _Sketch) -> DataFrame:
                 bands = mix(bands + found[:, i::ROWS] * np.uint64(2 * i + 3))
             bands = pa.FixedSizeListArray.from_arrays(pa.array(bands.view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64()))
             low = (found & np.uint64(0xFFFF)).astype("<u2")
-            batch = pa.RecordBatch.from_arrays([ids, bands, pa.array([x.tobytes() for x in low], pa.binary())], ["doc_id", "bands", "low"])
-            yield batch.filter(pa.array(np.diff(s.bounds) > 0))
+            columns = [ids, *(pa.array(k.view(np.int64)) for k in keys), pa.array(n), bands, pa.array([x.tobytes() for x in low], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "key1", "key2", "n_words", "bands", "low"])
 
-    return texts.mapInArrow(run, "doc_id bigint, bands array<bigint>, low binary")
+    return docs.mapInArrow(run, "doc_id bigint, key1 bigint, key2 bigint, n_words bigint, bands array<bigint>, low binary")
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -215,8 +208,8 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 def _verified(pairs: DataFrame, texts: DataFrame, sketch: _Sketch) -> DataFrame:
     """Those of the pairs (a, b) whose similarity is at least THRESHOLD. Rows of one a follow one another, so each a is cut up once."""
-    with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
+    with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
+    both = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def cut(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -278,15 +271,18 @@ def _star_pairs(sampled: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "doc_id").alias("x"), F.greatest("a", "doc_id").alias("y"), "a", F.col("doc_id").alias("b")).groupBy("x", "y").agg(F.min("a").alias("a")).select("a", F.when(F.col("x") == F.col("a"), F.col("y")).otherwise(F.col("x")).alias("b"))
 
 
-def _rest_pairs(sampled: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame | None:
-    """Pairs of texts that share a bucket but no component, one of them outside its centre's component, unless their samples are clearly apart."""
+def _rest_pairs(sampled: DataFrame, classes: DataFrame, scratch: Scratch, best: int | None) -> DataFrame | None:
+    """Pairs of texts that share a bucket but no component, one of them outside its centre's component, unless their samples are clearly apart.
+
+    best: of each such text and block of a bucket only the pairs with the most equal samples, so many; None: all.
+    """
     members = _buckets(sampled.select("doc_id", "bands")).join(classes.select("doc_id", "class"), "doc_id", "left").withColumn("class", F.coalesce("class", "doc_id"))
     least = F.struct(F.xxhash64("doc_id", "band").alias("order"), F.col("class").alias("class"))
     mixed = members.groupBy("band", "bucket").agg(F.min(least).alias("centre"), F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("n"))
-    mixed = scratch.table(mixed.filter("low <> high").select("band", "bucket", F.col("centre.class").alias("main"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "mixed")
+    mixed = scratch.table(mixed.filter("low <> high").select("band", "bucket", F.col("centre.class").alias("main"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), f"mixed-{best}")
     if not mixed.limit(1).count():
         return None
-    inside = scratch.table(members.join(mixed, ["band", "bucket"]).join(sampled.select("doc_id", "low"), "doc_id"), "inside")
+    inside = scratch.table(members.join(mixed, ["band", "bucket"]).join(sampled.select("doc_id", "low"), "doc_id"), f"inside-{best}")
     asked = inside.filter("class <> main").groupBy("band", "bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("askers"))
     inside = inside.join(asked, ["band", "bucket"])
     own, every = (lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")), (lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
@@ -301,7 +297,10 @@ def _rest_pairs(sampled: DataFrame, classes: DataFrame, scratch: Scratch) -> Dat
         for i in np.flatnonzero(asks == 1):
             near = ((low[mine] == low[i]).mean(1) >= NEAR) & (group[mine] != group[i])
             if near.any():
-                other = ids[mine[near]]
+                at = mine[near]
+                if best is not None and len(at) > best:
+                    at = at[np.argpartition(-(low[at] == low[i]).sum(1), best - 1)[:best]]
+                other = ids[at]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(other, ids[i])), pa.array(np.maximum(other, ids[i]))], ["a", "b"])
 
     both = held.unionByName(asking).select("band", "bucket", "block", "asker", "doc_id", "class", "low", "asks")
@@ -313,33 +312,37 @@ def classes(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).filter("doc_id is not null")
-    keyed = scratch.table(_keys(docs), "keys")
+    sketch = _Sketch(spark, _count(docs).collect(), docs.count())
+    sampled = scratch.table(_sampled(docs, sketch), "sampled")
     own = F.when(F.col("n_words") == 0, F.col("doc_id"))
-    one = scratch.table(keyed.groupBy("doc_id").agg(F.min(F.struct("key1", "key2", "n_words")).alias("k")).select("doc_id", "k.*").withColumn("own", own), "documents")
-    copies = one.groupBy("key1", "key2", "n_words", "own").agg(F.min("doc_id").alias("copy_of"))
-    copies = scratch.table(copies, "copies")
+    documents = sampled.groupBy("doc_id").agg(F.min(F.struct("key1", "key2", "n_words")).alias("k")).select("doc_id", "k.*").withColumn("own", own)
+    documents = scratch.table(documents, "documents")
+    copies = scratch.table(documents.groupBy("key1", "key2", "n_words", "own").agg(F.min("doc_id").alias("copy_of")), "copies")
     first = copies.filter("n_words > 0").select(F.col("copy_of").alias("doc_id"), "key1", "key2")
-    # The texts of all first copies are read where they lie; rows that are later copies are known by their key and id.
-    texts = docs.join(first.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    texts = scratch.table(texts, "texts")
-    n_texts = copies.count()
-    sketch = _Sketch(spark, _count(texts).collect(), n_texts)
-    sampled = scratch.table(_sampled(texts, sketch), "sampled")
-    pairs = scratch.table(_star_pairs(sampled), "pairs")
-    ends = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    paired = scratch.table(texts.join(ends, "doc_id", "left_semi"), "paired")
-    links = scratch.table(_verified(pairs, paired, sketch), "links")
-    found = components(links, scratch, "near")
-    rest = _rest_pairs(sampled, found, scratch)
-    if rest is not None:
-        rest = scratch.table(rest, "rest")
-        if rest.limit(1).count():
-            more = scratch.table(_verified(rest, texts, sketch), "more")
-            if more.limit(1).count():
-                found = components(links.unionByName(more), scratch, "all")
-    scratch.drop("texts", "paired", "sampled", "pairs")
+    firsts = sampled.join(first, ["doc_id", "key1", "key2"], "left_semi").groupBy("doc_id").agg(F.min("bands").alias("bands"), F.min("low").alias("low"))
+    firsts = scratch.table(firsts, "firsts")
+    scratch.drop("sampled")
+    pairs = scratch.table(_star_pairs(firsts), "pairs-star")
+    links = found = None
+    for best in ("star", 8, None):
+        if best != "star":
+            rest = _rest_pairs(firsts, found, scratch, best)
+            if rest is None:
+                break
+            pairs = scratch.table(rest, f"pairs-{best}")
+        # The texts of a round's pairs are found once; merging keeps the plan the same at every size.
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        texts = docs.join(ends.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+        texts = scratch.table(texts, f"texts-{best}")
+        new = scratch.table(_verified(pairs, texts, sketch), f"links-{best}")
+        scratch.drop(f"texts-{best}")
+        if links is not None and not new.limit(1).count():
+            continue
+        links = new if links is None else links.unionByName(new)
+        found = components(links, scratch, f"classes-{best}")
+    scratch.drop("firsts")
     by_copy = copies.join(found.select(F.col("doc_id").alias("copy_of"), "class"), "copy_of", "left").select("key1", "key2", "n_words", "own", "copy_of", F.coalesce("class", "copy_of").alias("class_id"))
-    return one.join(by_copy, (one.key1 == by_copy.key1) & (one.key2 == by_copy.key2) & (one.n_words == by_copy.n_words) & one.own.eqNullSafe(by_copy.own)).select("doc_id", "class_id", "copy_of")
+    return documents.join(by_copy, (documents.key1 == by_copy.key1) & (documents.key2 == by_copy.key2) & (documents.n_words == by_copy.n_words) & documents.own.eqNullSafe(by_copy.own)).select("doc_id", "class_id", "copy_of")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
