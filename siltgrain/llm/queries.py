@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltgrain.llm import ann, license_scan, line_crf, near_dedup, packing, quality_rules, secret_scan, token_files, toxicity
+from siltgrain.llm import ann, license_scan, line_crf, near_dedup, packing, quality_rules, secret_scan, sentencepiece_codec, token_files, toxicity
 
 
 def word_bpe() -> str:
@@ -23,6 +23,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.7)
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return sentencepiece_codec.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_crf.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.5)
 
@@ -55,5 +61,5 @@ def op10_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_line_quality, op4_best_fit_packing, op5_token_files, op6_near_dedup, op7_license_scan, op8_secret_scan, op9_quality_rules, op10_cross_polytope)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sentencepiece, op3_line_quality, op4_best_fit_packing, op5_token_files, op6_near_dedup, op7_license_scan, op8_secret_scan, op9_quality_rules, op10_cross_polytope)}
 ORACLE_SQL: dict[str, str] = {}
