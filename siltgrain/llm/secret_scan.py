@@ -100,7 +100,11 @@ def _joined(found: Column) -> Column:
 def scan(docs: DataFrame) -> DataFrame:
     """One row for each document: doc_id, the number of spans of each kind, spans, and the SHA-256 of the base ones."""
     found = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), spans(F.col("text")).alias("found"))
-    counts = [F.size(F.filter("found", lambda s, k=k: s.kind == k)).cast("bigint").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+
+    def of_kind(k: int) -> Column:
+        return F.size(F.filter("found", lambda s: s.kind == k)).cast("bigint")
+
+    counts = [of_kind(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
     base = F.filter("found", lambda s: s.kind < 3)
     return found.select("doc_id", *counts[:3], F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("found")).alias("spans"), counts[3])
 
