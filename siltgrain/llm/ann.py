@@ -53,7 +53,7 @@ def rotated(x: np.ndarray, table: int) -> np.ndarray:
 
 def nearest_axes(y: np.ndarray, n: int) -> np.ndarray:
     """The n signed axes nearest to each row, nearest first: 2 * axis, and 1 more for its negative."""
-    both = np.stack([y, -y], axis=2).reshape(len(y), -1)
+    both = np.stack([y, -y], axis=2).reshape(len(y), 2 * y.shape[1])
     n = min(n, both.shape[1])
     some = np.argpartition(-both, n - 1, axis=1)[:, :n]
     return np.take_along_axis(some, np.argsort(-np.take_along_axis(both, some, 1), axis=1, kind="stable"), 1)
