@@ -17,102 +17,138 @@ from siltgrain.llm.common import ragged
 LETTERS = "a-zß-öø-ÿā-ıĳ-ňŊ-ž"
 #: Words of these characters are cut and lowered here as the file's own rules do; all other words go through the file's whole chain.
 PLAIN = re.compile(r"[!-~À-ÖØ-öø-įıĲ-ňŊ-ž]+")
-PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^{LETTERS}0-9]+")
+PLAIN_LINES = re.compile(rf"(?:{PLAIN.pattern}|\n)*")
+PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|\n|[^{LETTERS}0-9\n]+")
 SPLIT_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _LOADED: dict[tuple[str, int], WordTokenizer] = {}
 
 
 class _Codes(dict):
-    """word -> number in order of first sight; the new ones are listed in ``fresh``."""
+    """word or piece -> number in order of first sight; the new ones are listed in ``fresh``. ids(): those of many numbers, from arrays."""
 
     def __init__(self):
         super().__init__()
-        self.fresh: list[bytes] = []
+        self.fresh: list = []
+        self.flat, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def __missing__(self, word: bytes) -> int:
+    def learn(self, flat: np.ndarray, lengths: np.ndarray) -> None:
+        """The ids of all of ``fresh``, in its order."""
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
+        self.lengths, self.flat = np.concatenate([self.lengths, lengths]), np.concatenate([self.flat, flat])
+        self.fresh = []
+
+    def ids(self, code: np.ndarray) -> np.ndarray:
+        return self.flat[ragged(self.starts[code], self.lengths[code])]
+
+    def thin(self, uses: np.ndarray) -> tuple[_Codes, np.ndarray]:
+        """Those in use above the median, and at most half, with their uses halved."""
+        keep = np.sort(np.argsort(-uses, kind="stable")[: len(self) // 2])
+        keep = keep[uses[keep] > 1]
+        words, out = list(self), _Codes()
+        for i in keep.tolist():
+            out[words[i]] = len(out)
+        out.learn(self.ids(keep), self.lengths[keep])
+        return out, uses[keep] // 2
+
+    def __missing__(self, word) -> int:
         code = self[word] = len(self)
         self.fresh.append(word)
         return code
 
 
 class WordTokenizer:
-    """encode() of many texts at once. most: the number of distinct words kept; beyond it the table starts afresh, which changes no result."""
+    """encode() of many texts at once. most: about the number of distinct words kept; beyond it the rarer half goes, which changes no result."""
 
     def __init__(self, path: str, most: int = 400_000):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         with open(path) as f:
             spec = json.load(f)
         rules = [x.get("pattern", {}).get("Regex") for x in (spec["pre_tokenizer"] or {}).get("pretokenizers", [])]
-        if SPLIT_RULE not in rules or spec["model"].get("end_of_word_suffix") != "</w>":
+        if SPLIT_RULE not in rules or spec["model"].get("end_of_word_suffix") != "</w>" or not all(x["content"].startswith("<|") for x in spec["added_tokens"]):
             raise ValueError(f"{path}: its words can't be encoded apart")
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.size = self.tokenizer.get_vocab_size()
-        self.is_end = np.zeros(self.size, bool)
+        self.tokenizer, self.letters, self.most = Tokenizer.from_file(path), Tokenizer.from_file(path), most
+        # For pieces that are cut and lowered already: without the steps that would leave them as they are.
+        self.letters.normalizer = normalizers.Sequence([])
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        for t in (self.tokenizer, self.letters):
+            t.no_truncation()
+            t.no_padding()
+        size = self.tokenizer.get_vocab_size()
+        self.is_end = np.zeros(size, bool)
         self.is_end[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
-        self._clear()
-
-    def _clear(self) -> None:
-        self.codes, self.pieces = _Codes(), {}
-        self.flat, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def _encode_pieces(self, pieces: list[str]) -> None:
-        """Letter-only pieces are encoded as one text: each ends with the one token that carries the end-of-word mark."""
-        words = [p for p in pieces if p[0].isalpha()]
-        for i in range(0, len(words), 2000):
-            some = words[i : i + 2000]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, np.uint32)
-            ends = np.flatnonzero(self.is_end[ids]) + 1
-            if len(ends) != len(some):
-                raise ValueError("a word has no end mark")
-            listed, first = ids.tolist(), 0
-            for word, last in zip(some, ends.tolist(), strict=True):
-                self.pieces[word] = listed[first:last]
-                first = last
-        rest = [p for p in pieces if not p[0].isalpha()]
-        for piece, got in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.pieces[piece] = got.ids
-
-    def _encode_words(self, words: list[bytes]) -> None:
-        cut: list[list[str] | None] = []
-        new, odd = {}, []
-        for raw in words:
-            word = raw.decode("utf-8", "replace")
-            if PLAIN.fullmatch(word) and "<|" not in word:
-                parts = PIECES.findall(word.lower())
-                for p in parts:
-                    if p not in self.pieces:
-                        new[p] = None
-                cut.append(parts)
-            else:
-                cut.append(None)
-                odd.append(word)
-        self._encode_pieces(list(new))
-        others = iter(self.tokenizer.encode_batch_fast(odd, add_special_tokens=False))
-        ids = [next(others).ids if parts is None else self.pieces[parts[0]] if len(parts) == 1 else [i for p in parts for i in self.pieces[p]] for parts in cut]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum()))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
-        self.lengths, self.flat = np.concatenate([self.lengths, lengths]), np.concatenate([self.flat, flat])
+        self.codes, self.pieces = _Codes(), _Codes()
+        self.uses = np.zeros(0, np.int64)
+
+    def _learn_pieces(self) -> None:
+        """Letter-only pieces are encoded as one text: each ends with the one token that carries the end-of-word mark. A line feed has no ids."""
+        fresh = self.pieces.fresh
+        is_word = np.fromiter((p[0].isalpha() for p in fresh), bool, len(fresh))
+        words = [p for p, w in zip(fresh, is_word.tolist(), strict=True) if w]
+        parts = []
+        for i in range(0, len(words), 5000):
+            parts.append(np.array(self.letters.encode(" ".join(words[i : i + 5000]), add_special_tokens=False).ids, np.uint32))
+        ids = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+        ends = np.flatnonzero(self.is_end[ids]) + 1
+        if len(ends) != len(words):
+            raise ValueError("a word has no end mark")
+        rest = ["" if p == "\n" else p for p, w in zip(fresh, is_word.tolist(), strict=True) if not w]
+        others = [x.ids for x in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
+        lengths = np.empty(len(fresh), np.int64)
+        lengths[is_word] = np.diff(ends, prepend=0)
+        lengths[~is_word] = list(map(len, others))
+        flat = np.empty(int(lengths.sum()), np.uint32)
+        of_word = np.repeat(is_word, lengths)
+        flat[of_word] = ids
+        flat[~of_word] = [i for x in others for i in x]
+        self.pieces.learn(flat, lengths)
+
+    def _learn_words(self) -> None:
+        fresh = self.codes.fresh
+        text = b"\n".join(fresh).decode("utf-8", "replace")
+        words = text.split("\n")
+        plain = np.ones(len(words), bool)
+        if "<|" in text or not PLAIN_LINES.fullmatch(text):
+            plain = np.fromiter((PLAIN.fullmatch(w) is not None and "<|" not in w for w in words), bool, len(words))
+            text = "\n".join(w for w, p in zip(words, plain.tolist(), strict=True) if p)
+        cut = PIECES.findall(text.lower() + "\n")
+        code = np.fromiter(map(self.pieces.__getitem__, cut), np.int64, len(cut))
+        if self.pieces.fresh:
+            self._learn_pieces()
+        line_feed = self.pieces["\n"]
+        closes = np.flatnonzero(code == line_feed) + 1 if plain.any() else np.zeros(0, np.int64)
+        total = np.concatenate([[0], np.cumsum(self.pieces.lengths[code])])
+        others = [x.ids for x in self.tokenizer.encode_batch_fast([w for w, p in zip(words, plain.tolist(), strict=True) if not p], add_special_tokens=False)]
+        lengths = np.empty(len(words), np.int64)
+        lengths[plain] = np.diff(total[closes], prepend=0)
+        lengths[~plain] = list(map(len, others))
+        flat = np.empty(int(lengths.sum()), np.uint32)
+        of_plain = np.repeat(plain, lengths)
+        flat[of_plain] = self.pieces.ids(code)
+        flat[~of_plain] = [i for x in others for i in x]
+        self.codes.learn(flat, lengths)
 
     def encode(self, texts: list[bytes], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets): those of text i are ids[offsets[i]:offsets[i + 1]], with ``end`` after each text if it is given."""
         if len(self.codes) > self.most:
-            self._clear()
+            self.codes, self.uses = self.codes.thin(self.uses)
+        if len(self.pieces) > self.most:
+            self.pieces = _Codes()
         lookup, codes, counts = self.codes.__getitem__, [], []
         for text in texts:
-            words = text.split()  # of bytes: at ASCII white space only, which every pre-token respects
+            # Of bytes: at ASCII white space only, which every pre-token respects. Lower case for ASCII letters only, which the tokenizer would
+            # give them anyway, but not where it could make up the name of a special token.
+            words = (text if b"<|" in text else text.lower()).split()
             codes.extend(map(lookup, words))
             counts.append(len(words))
         if self.codes.fresh:
-            self._encode_words(self.codes.fresh)
-            self.codes.fresh = []
-        code = np.fromiter(codes, np.int64, len(codes))
-        lengths = self.lengths[code]
-        ids = self.flat[ragged(self.starts[code], lengths)]
-        of_text = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(np.array(counts, np.int64))])]
+            self._learn_words()
+        code = np.array(codes, np.int64)
+        uses = np.bincount(code, minlength=len(self.codes))
+        uses[: len(self.uses)] += self.uses
+        self.uses = uses
+        ids = self.codes.ids(code)
+        of_text = np.concatenate([[0], np.cumsum(self.codes.lengths[code])])[np.concatenate([[0], np.cumsum(np.array(counts, np.int64))])]
         if end is None:
             return ids, of_text
         out, n = np.empty(len(ids) + len(texts), np.uint32), np.arange(len(texts) + 1)
