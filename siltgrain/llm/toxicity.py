@@ -20,7 +20,9 @@ from siltgrain.llm.common import ragged
 from siltgrain.llm.labelled import scored, training_rows
 from siltgrain.llm.textops import LOWER, Hashes, cuts, owner, salted
 
-BUCKETS = 18  # bits
+BUCKETS = 20  # bits
+#: Training texts that an n-gram must occur in to be learnt: what one text alone has says nothing of others.
+LEAST_TEXTS = 3
 GRAMS = (3, 4, 5)
 WINDOW = 48
 _FOLD = LOWER.copy()
@@ -71,44 +73,56 @@ def windows(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return text, first, np.minimum(first + WINDOW, counts[text])
 
 
-def train(texts: list[str], labels: np.ndarray, size: int = 8, rounds: int = 8, batch: int = 64, rate: float = 0.02, decay: float = 1e-4, seed: int = 7) -> tuple[np.ndarray, float]:
-    """(number of each n-gram, bias): the difference of the classes' logits. The most toxic window of each text, as it then stands, takes the gradient."""
-    rng, n = np.random.default_rng(seed), 1 << BUCKETS
+def train(texts: list[str], labels: np.ndarray, size: int = 8, rounds: int = 8, batch: int = 64, rate: float = 0.02, decay: float = 1e-4, toxic_weight: float = 7 / 3, seed: int = 7) -> tuple[np.ndarray, float]:
+    """(number of each n-gram, bias): the difference of the classes' logits. The most toxic window of each text, as it then stands, takes the gradient.
+
+    toxic_weight: of a toxic text against another. With 7 / 3, what is as likely as not for classes of one size scores 0.7.
+    """
+    rng = np.random.default_rng(seed)
+    raw = [t.encode() for t in texts]
+    parts, pairs = [], []
+    for i in range(0, len(raw), batch):
+        some = raw[i : i + batch]
+        bags = Bags(np.frombuffer(b"".join(some), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in some])]))
+        text, first, last = windows(np.diff(bags.bounds))
+        order = np.argsort(bags.word, kind="stable")
+        parts.append((labels[i : i + batch], bags.gram[order], bags.word[order], bags.size, text, bags.bounds[text] + first, bags.bounds[text] + last))
+        pairs.append(np.unique(owner(bags.word, bags.bounds) << BUCKETS | bags.gram) & ((1 << BUCKETS) - 1))
+    learnt = np.flatnonzero(np.bincount(np.concatenate(pairs), minlength=1 << BUCKETS) >= LEAST_TEXTS)
+    number = np.full(1 << BUCKETS, -1, np.int32)
+    number[learnt] = np.arange(len(learnt))
+    n = len(learnt)
+    for i, (y, gram, word, sizes, *rest) in enumerate(parts):
+        gram = number[gram]
+        keep = gram >= 0
+        parts[i] = y, gram[keep], np.bincount(word[keep], minlength=len(sizes)), sizes, *rest
     vectors = rng.normal(0, 0.1, (n, size)).astype(np.float32)
     softmax = np.stack([-np.ones(size), np.ones(size)]).astype(np.float32) * 0.5
     params = [vectors, softmax, np.zeros(2, np.float32)]
     means, squares = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     step = 0
-    raw = [t.encode() for t in texts]
-    order = np.arange(len(raw))
-    parts = []
-    for i in range(0, len(raw), batch):
-        some = order[i : i + batch]
-        offsets = np.concatenate([[0], np.cumsum([len(raw[j]) for j in some])])
-        bags = Bags(np.frombuffer(b"".join(raw[j] for j in some), np.uint8), offsets)
-        text, first, last = windows(np.diff(bags.bounds))
-        by_word = np.argsort(bags.word, kind="stable")
-        parts.append((labels[some], bags.gram[by_word].astype(np.int32), np.concatenate([[0], np.cumsum(bags.size)]).astype(np.int64), bags.size, text, bags.bounds[text] + first, bags.bounds[text] + last))
     for round_ in range(rounds):
         for k in rng.permutation(len(parts)):
-            y, gram, gram_bounds, sizes, text, first, last = parts[k]
+            y, gram, kept, sizes, text, first, last = parts[k]
             if not len(gram):
                 continue
             vectors, softmax, bias = params
             flat = vectors @ (softmax[1] - softmax[0])
-            word_sum = np.add.reduceat(flat[gram], gram_bounds[:-1]) / sizes
+            by_gram = np.concatenate([[0.0], np.cumsum(flat[gram], dtype=np.float64)])
+            ends = np.cumsum(kept)
+            word_sum = (by_gram[ends] - by_gram[ends - kept]) / sizes
             total = np.concatenate([[0.0], np.cumsum(word_sum, dtype=np.float64)])
             logit = (total[last] - total[first]) / np.maximum(last - first, 1)
             best = np.lexsort((logit, text))[np.concatenate([np.flatnonzero(np.diff(text)), [len(text) - 1]])]
             z = logit[best] + bias[1] - bias[0]
-            error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y).astype(np.float32) / len(y)
+            error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y).astype(np.float32) * np.where(y == 1, np.float32(toxic_weight), np.float32(1)) / len(y)
             weight = np.zeros(len(sizes) + 1, np.float32)
             share = error / np.maximum(last[best] - first[best], 1)
             np.add.at(weight, first[best], share)
             np.add.at(weight, last[best], -share)
             of_word = np.cumsum(weight[:-1]) / sizes
             of_word[np.abs(of_word) < 1e-9] = 0
-            per_gram = np.repeat(of_word, sizes.astype(np.int64))
+            per_gram = np.repeat(of_word, kept)
             used = np.flatnonzero(per_gram)
             push = np.bincount(gram[used], per_gram[used], minlength=n).astype(np.float32)  # the gradient of each n-gram's number
             touched = np.flatnonzero(push)
@@ -125,7 +139,9 @@ def train(texts: list[str], labels: np.ndarray, size: int = 8, rounds: int = 8,
                     p *= 1 - now * decay
                 p -= (now * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
     vectors, softmax, bias = params
-    return (vectors @ (softmax[1] - softmax[0])).astype(np.float32), float(bias[1] - bias[0])
+    numbers = np.zeros(1 << BUCKETS, np.float32)
+    numbers[learnt] = vectors @ (softmax[1] - softmax[0])
+    return numbers, float(bias[1] - bias[0])
 
 
 def score(data: np.ndarray, offsets: np.ndarray, numbers: np.ndarray, bias: float) -> np.ndarray:
@@ -145,7 +161,8 @@ def model_of(docs: DataFrame, labels: DataFrame, most_per_class: int = 1500) ->
     rows = training_rows(docs, labels, "toxic", most_per_class)
     if len({y for y, _ in rows}) < 2:
         return np.zeros(1 << BUCKETS, np.float32), -50.0
-    return train([t for _, t in rows], np.array([y for y, _ in rows]), rounds=6, decay=0.01)
+    # Few texts make few steps a round, so they get more rounds.
+    return train([t for _, t in rows], np.array([y for y, _ in rows]), rounds=max(6, min(60, 18_000 // len(rows))), decay=0.01)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, most_per_class: int = 1500) -> DataFrame:
