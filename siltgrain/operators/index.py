@@ -87,17 +87,20 @@ def all_postings(docs: DataFrame, mode: Mode = Mode.TF) -> DataFrame:
     return exploded.groupBy("term", "docid").agg(*found)
 
 
+def term_stats(postings: DataFrame, mode: Mode = Mode.TF) -> DataFrame:
+    """term, df and, with term frequencies, max_tf and max_tf_len: the posting of greatest tf, of those the shortest document's."""
+    found = [F.count("*").alias("df")]
+    if not mode.has_tf:
+        return postings.groupBy("term").agg(*found)
+    most = F.max(F.struct(F.col("tf"), (-F.col("doc_len")).alias("less")))
+    return postings.groupBy("term").agg(*found, most.alias("most")).select("term", "df", F.col("most.tf").alias("max_tf"), (-F.col("most.less")).alias("max_tf_len"))
+
+
 def build(docs: DataFrame, mode: Mode | str = Mode.TF, df_cutoff: int = DF_CUTOFF) -> Index:
     """The index of docs (docid, text), texts normalised; docids unique and 0 or more. Terms of a lower document frequency than df_cutoff are left out."""
     mode = Mode(mode)
     postings = all_postings(docs, mode)
-    found = [F.count("*").alias("df")]
-    if mode.has_tf:
-        most = F.max(F.struct(F.col("tf"), (-F.col("doc_len")).alias("less"), (-F.col("docid")).alias("early")))
-        found.append(most.alias("most"))
-    terms = postings.groupBy("term").agg(*found).filter(F.col("df") >= df_cutoff)
-    if mode.has_tf:
-        terms = terms.select("term", "df", F.col("most.tf").alias("max_tf"), (-F.col("most.less")).alias("max_tf_len"))
+    terms = term_stats(postings, mode).filter(F.col("df") >= df_cutoff)
     kept = postings if df_cutoff <= 1 else postings.join(terms.select("term"), "term", "left_semi")
     lengths = doc_lengths(docs)
     return Index(mode, df_cutoff, kept, terms, lengths, collection_stats(lengths))

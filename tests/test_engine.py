@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from siltgrain import cli
 from siltgrain.functions import hashing
-from siltgrain.functions.text import normalized, tokens, words
+from siltgrain.functions.text import normalized, tokens
 from siltgrain.operators import blocks, index, inspect, retrieve
+from siltgrain.plans import checks
 from siltgrain.sources import collection
+from siltgrain.streaming import ingest
 
 MINI = "1\talpha beta gamma \n2\talpha alpha delta \n3\tbeta delta epsilon zeta \n4\t\n5\talpha beta beta \n6\tgamma \n7\tzeta eta \n8\ttheta "
 GOLDEN = [
@@ -186,4 +188,22 @@ def test_empty_collection(spark):
     found = index.build(spark.createDataFrame([], "docid long, text string"))
     assert found.stats.first()[:] == (0, 0, None)
     assert retrieve.disjunctive(found, batch(spark, ["a b"])).count() == 0 and retrieve.conjunctive(found, batch(spark, ["a"])).count() == 0
-    assert words is not None
+
+
+def test_lookups_push_their_terms_and_read_few_columns(spark, mini, tmp_path):
+    mini.write(str(tmp_path / "i"))
+    found = inspect.postings_of(index.load(spark, str(tmp_path / "i")), "alpha", "beta")
+    assert any("In(term, [alpha,beta" in p for p in checks.pushed_filters(found))
+    assert all("positions" not in c for c in checks.columns_read(found)) and not checks.runs_python(found)
+
+
+def test_stream_of_documents(spark, tmp_path):
+    lines = MINI.split("\n")
+    (tmp_path / "in").mkdir()
+    for n, some in enumerate((lines[:3], lines[3:])):
+        (tmp_path / "in" / f"{n}.txt").write_text("\n".join(some))
+        ingest.ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(60)
+    found = ingest.load(spark, str(tmp_path / "out"), df_cutoff=1)
+    assert found.stats.first()[:] == (8, 17, 2.125)
+    ranked = sorted((r.qid, r["rank"], r.docid, r.score) for r in retrieve.disjunctive(found, batch(spark, [q for q, _, _ in GOLDEN])).collect())
+    assert ranked == [(i, k, d, s) for i, (_, _, want) in enumerate(GOLDEN) for k, (d, s) in enumerate(want, 1)]
