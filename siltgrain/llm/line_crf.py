@@ -17,6 +17,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
+from siltgrain.llm.common import slices
 from siltgrain.llm.labelled import kept, scored, training_rows
 from siltgrain.llm.textops import Lines, Words, sums
 
@@ -94,6 +95,16 @@ class Chains:
             self.ranges[:, i] = base + np.searchsorted(cut, np.asarray(x, float))
             base += len(cut) + 1
 
+    @classmethod
+    def of(cls, texts: list[bytes], most: int = 1 << 20) -> Chains:
+        """The chains of many texts, some ``most`` bytes at a time, which bounds the memory that their hashes take."""
+        offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        parts = [cls(np.frombuffer(b"".join(texts[a:b]), np.uint8), offsets[a : b + 1] - offsets[a]) for a, b in slices(offsets, most)]
+        out = cls.__new__(cls)
+        out.ranges, out.length = (np.concatenate([getattr(p, name) for p in parts]) for name in ("ranges", "length"))
+        out.bounds = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p.bounds) for p in parts]))])
+        return out
+
     def ends_of_chains(self) -> tuple[np.ndarray, np.ndarray]:
         is_first, is_last = (np.zeros(len(self.ranges), bool) for _ in range(2))
         some = self.bounds[1:] > self.bounds[:-1]
@@ -191,8 +202,7 @@ def model_of(docs: DataFrame, labels: DataFrame, most_per_class: int = 1000) ->
     y = np.array([label for label, _ in rows])
     if len(set(y.tolist())) < 2:
         return np.zeros(N_FEATURES), np.zeros((2, 2))
-    raw = [t.encode() for _, t in rows]
-    return train(Chains(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])])), y)
+    return train(Chains.of([t.encode() for _, t in rows]), y)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, most_per_class: int = 1000) -> DataFrame:
