@@ -9,10 +9,10 @@ themselves make frequent, still outweighs what sets them apart. df is counted ov
 3. In each bucket the text with the least hash for that band is its centre, so buckets of the same texts have different centres. Each text is
    verified against its centres by the exact weighted Jaccard similarity. Links are the edges of a graph whose components are found by label propagation
    with pointer jumping over tables in the shared folder.
-4. A bucket whose texts are not all in one component is gone over again: each text outside its centre's component is compared with every text of the
-   bucket in another component, by the share of equal samples in blocks. First the pairs with the most equal samples are verified exactly, which links
-   most; then, of what is still apart, all that are not clearly below the threshold. So within a bucket no pair of texts of different components stays
-   uncompared, and no group is held whole by one task.
+4. A bucket whose texts are not all in one component is gone over again, in blocks: each text outside its centre's component is compared with every text
+   of the bucket in another component. First the pairs with the most equal samples are verified, which links most; then, of what is still apart, all
+   whose samples are not clearly apart, inside their block, so that only links come out. So within a bucket no pair of texts of different components
+   stays uncompared, and no group is held whole by one task.
 
 Nothing of all documents comes to the driver but the sketch. Defined results: a null text, or one without words, is in a class of its own; rows with a
 null doc_id are in no class (keep_one keeps them); rows that repeat a doc_id count as one document; an empty table gives no
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltgrain.llm.common import Scratch, slices, text_bytes
+from siltgrain.llm.common import Scratch, ragged, slices, text_bytes
 from siltgrain.llm.textops import Words, mix, salted, sequences
 
 SHINGLE, THRESHOLD, IDF_SHARE = 5, 0.8, 0.05
@@ -38,7 +38,7 @@ BANDS, ROWS = 16, 4
 DEPTH, WIDTH, CHUNKS = 2, 20, 512
 #: The share of equal samples from which a pair is verified in step 4: four standard deviations below the threshold.
 NEAR = THRESHOLD - 4 * (THRESHOLD * (1 - THRESHOLD) / (BANDS * ROWS)) ** 0.5
-BLOCK = 2048
+BLOCK, BEST = 2048, 8
 _TABLE_BITS = 14
 _rng = np.random.default_rng(0xC0FFEE)
 _SEEDS = (_rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -271,23 +271,38 @@ def _star_pairs(sampled: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "doc_id").alias("x"), F.greatest("a", "doc_id").alias("y"), "a", F.col("doc_id").alias("b")).groupBy("x", "y").agg(F.min("a").alias("a")).select("a", F.when(F.col("x") == F.col("a"), F.col("y")).otherwise(F.col("x")).alias("b"))
 
 
-def _rest_pairs(sampled: DataFrame, classes: DataFrame, scratch: Scratch, best: int | None) -> DataFrame | None:
-    """Pairs of texts that share a bucket but no component, one of them outside its centre's component, unless their samples are clearly apart.
-
-    best: of each such text and block of a bucket only the pairs with the most equal samples, so many; None: all.
-    """
+def _mixed(sampled: DataFrame, classes: DataFrame, scratch: Scratch, name: str) -> DataFrame | None:
+    """The members of buckets whose texts are not all in one component: band, bucket, doc_id, class and main, the centre's class. None: no such bucket."""
     members = _buckets(sampled.select("doc_id", "bands")).join(classes.select("doc_id", "class"), "doc_id", "left").withColumn("class", F.coalesce("class", "doc_id"))
     least = F.struct(F.xxhash64("doc_id", "band").alias("order"), F.col("class").alias("class"))
-    mixed = members.groupBy("band", "bucket").agg(F.min(least).alias("centre"), F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("n"))
-    mixed = scratch.table(mixed.filter("low <> high").select("band", "bucket", F.col("centre.class").alias("main"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), f"mixed-{best}")
-    if not mixed.limit(1).count():
-        return None
-    inside = scratch.table(members.join(mixed, ["band", "bucket"]).join(sampled.select("doc_id", "low"), "doc_id"), f"inside-{best}")
-    asked = inside.filter("class <> main").groupBy("band", "bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("askers"))
-    inside = inside.join(asked, ["band", "bucket"])
-    own, every = (lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")), (lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
+    mixed = members.groupBy("band", "bucket").agg(F.min(least).alias("centre"), F.min("class").alias("low"), F.max("class").alias("high"))
+    mixed = mixed.filter("low <> high").select("band", "bucket", F.col("centre.class").alias("main"))
+    inside = scratch.table(members.join(mixed, ["band", "bucket"]), f"mixed-{name}")
+    return inside if inside.limit(1).count() else None
+
+
+def _in_blocks(inside: DataFrame, size: F.Column, most: int) -> DataFrame:
+    """inside as blocks of about ``most`` by size: each member once (asks 0) for each block of askers, each text outside its centre's class (asks 1) for
+    each block of members. Group by band, bucket, block and asker."""
+    sizes = inside.groupBy("band", "bucket").agg(
+        F.ceil(F.sum(size) / most).cast("int").alias("blocks"), F.ceil(F.sum(F.when(F.col("class") != F.col("main"), size)) / most).cast("int").alias("askers")
+    )
+    inside = inside.join(sizes, ["band", "bucket"])
+
+    def own(n: str) -> F.Column:
+        return F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
+
+    def every(n: str) -> F.Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
     held = inside.withColumn("block", own("blocks")).withColumn("asker", every("askers")).withColumn("asks", F.lit(0))
     asking = inside.filter("class <> main").withColumn("block", every("blocks")).withColumn("asker", own("askers")).withColumn("asks", F.lit(1))
+    return held.unionByName(asking).drop("blocks", "askers", "main")
+
+
+def _best_pairs(inside: DataFrame, sampled: DataFrame, best: int) -> DataFrame:
+    """Pairs of texts that share a bucket but no component, one of them outside its centre's: of each such text and block those with the most equal samples."""
+    blocks = _in_blocks(inside.join(sampled.select("doc_id", "low"), "doc_id"), F.lit(1), BLOCK)
 
     def compare(keys: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches))
@@ -295,16 +310,50 @@ def _rest_pairs(sampled: DataFrame, classes: DataFrame, scratch: Scratch, best:
         low = np.frombuffer(b"".join(table.column("low").to_pylist()), "<u2").reshape(len(ids), -1)
         mine = np.flatnonzero(asks == 0)
         for i in np.flatnonzero(asks == 1):
-            near = ((low[mine] == low[i]).mean(1) >= NEAR) & (group[mine] != group[i])
-            if near.any():
-                at = mine[near]
-                if best is not None and len(at) > best:
-                    at = at[np.argpartition(-(low[at] == low[i]).sum(1), best - 1)[:best]]
-                other = ids[at]
+            equal = (low[mine] == low[i]).mean(1)
+            at = np.flatnonzero((equal >= NEAR) & (group[mine] != group[i]))
+            if len(at) > best:
+                at = at[np.argpartition(-equal[at], best - 1)[:best]]
+            if len(at):
+                other = ids[mine[at]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(other, ids[i])), pa.array(np.maximum(other, ids[i]))], ["a", "b"])
 
-    both = held.unionByName(asking).select("band", "bucket", "block", "asker", "doc_id", "class", "low", "asks")
-    return both.groupBy("band", "bucket", "block", "asker").applyInArrow(compare, "a bigint, b bigint").distinct()
+    return blocks.groupBy("band", "bucket", "block", "asker").applyInArrow(compare, "a bigint, b bigint").distinct()
+
+
+def _rest_links(inside: DataFrame, sampled: DataFrame, texts: DataFrame, sketch: _Sketch) -> DataFrame:
+    """All links between texts that share a bucket but no component, one of them outside its centre's: verified where they lie, so that only links come out.
+
+    A pair is looked at in the first band in which its texts meet, unless its samples are clearly apart.
+    """
+    with_text = inside.join(sampled.select("doc_id", "bands", "low"), "doc_id").join(texts.hint("merge"), "doc_id")
+    blocks = _in_blocks(with_text, F.length("text") + 64, 2 << 20)
+
+    def compare(keys: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches)).combine_chunks()
+        ids, group, asks = (table.column(c).to_numpy() for c in ("doc_id", "class", "asks"))
+        low = np.frombuffer(b"".join(table.column("low").to_pylist()), "<u2").reshape(len(ids), -1)
+        bands = np.array(table.column("bands").to_pylist(), np.int64).reshape(len(ids), -1)
+        mine, band = np.flatnonzero(asks == 0), keys[0].as_py()
+        s = Shingled(*text_bytes(table.column("text")))
+        w = sketch.weights(s)
+        total = np.add.reduceat(np.append(w, 0.0), s.bounds[:-1]) * (np.diff(s.bounds) > 0)
+        for i in np.flatnonzero(asks == 1):
+            near = ((low[mine] == low[i]).mean(1) >= NEAR) & (group[mine] != group[i]) & ((bands[mine] == bands[i]).argmax(1) == band)
+            at = mine[near]
+            if not len(at):
+                continue
+            sizes = np.diff(s.bounds)[at]
+            place = ragged(s.bounds[at], sizes)
+            own, weight = s.hash[s.bounds[i] : s.bounds[i + 1]], w[s.bounds[i] : s.bounds[i + 1]]
+            found = np.minimum(np.searchsorted(own, s.hash[place]), len(own) - 1)
+            both = np.where(own[found] == s.hash[place], np.minimum(weight[found], w[place]), 0.0)
+            shared = np.bincount(np.repeat(np.arange(len(at)), sizes), both, minlength=len(at))
+            other = ids[at[shared >= THRESHOLD * (total[at] + total[i] - shared)]]
+            if len(other):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(other, ids[i])), pa.array(np.maximum(other, ids[i]))], ["a", "b"])
+
+    return blocks.groupBy("band", "bucket", "block", "asker").applyInArrow(compare, "a bigint, b bigint").distinct()
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -322,24 +371,33 @@ def classes(docs: DataFrame) -> DataFrame:
     firsts = sampled.join(first, ["doc_id", "key1", "key2"], "left_semi").groupBy("doc_id").agg(F.min("bands").alias("bands"), F.min("low").alias("low"))
     firsts = scratch.table(firsts, "firsts")
     scratch.drop("sampled")
-    pairs = scratch.table(_star_pairs(firsts), "pairs-star")
-    links = found = None
-    for best in ("star", 8, None):
-        if best != "star":
-            rest = _rest_pairs(firsts, found, scratch, best)
-            if rest is None:
-                break
-            pairs = scratch.table(rest, f"pairs-{best}")
-        # The texts of a round's pairs are found once; merging keeps the plan the same at every size.
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        texts = docs.join(ends.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-        texts = scratch.table(texts, f"texts-{best}")
-        new = scratch.table(_verified(pairs, texts, sketch), f"links-{best}")
-        scratch.drop(f"texts-{best}")
-        if links is not None and not new.limit(1).count():
-            continue
-        links = new if links is None else links.unionByName(new)
-        found = components(links, scratch, f"classes-{best}")
+
+    def texts_of(ids: DataFrame, name: str) -> DataFrame:
+        """The texts of some ids, found once for a step; merging keeps the plan the same at every size."""
+        found = docs.join(ids.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+        return scratch.table(found, f"texts-{name}")
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = scratch.table(pairs, f"pairs-{name}")
+        texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), name)
+        links = scratch.table(_verified(pairs, texts, sketch), f"links-{name}")
+        scratch.drop(f"pairs-{name}", f"texts-{name}")
+        return links
+
+    links = verified(_star_pairs(firsts), "star")
+    found = components(links, scratch, "star")
+    inside = _mixed(firsts, found, scratch, "best")
+    if inside is not None:
+        new = verified(_best_pairs(inside, firsts, BEST), "best")
+        if new.limit(1).count():
+            links = links.unionByName(new)
+            found = components(links, scratch, "best")
+            inside = _mixed(firsts, found, scratch, "rest")
+    if inside is not None:
+        new = scratch.table(_rest_links(inside, firsts, texts_of(inside.select("doc_id").distinct(), "rest"), sketch), "links-rest")
+        scratch.drop("texts-rest")
+        if new.limit(1).count():
+            found = components(links.unionByName(new), scratch, "rest")
     scratch.drop("firsts")
     by_copy = copies.join(found.select(F.col("doc_id").alias("copy_of"), "class"), "copy_of", "left").select("key1", "key2", "n_words", "own", "copy_of", F.coalesce("class", "copy_of").alias("class_id"))
     return documents.join(by_copy, (documents.key1 == by_copy.key1) & (documents.key2 == by_copy.key2) & (documents.n_words == by_copy.n_words) & documents.own.eqNullSafe(by_copy.own)).select("doc_id", "class_id", "copy_of")
