@@ -38,7 +38,7 @@ def scored(docs: DataFrame, score: Callable[[np.ndarray, np.ndarray], np.ndarray
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column(2))
-            for a, b in slices(offsets, 2 << 20):
+            for a, b in slices(offsets, 1 << 20):
                 found = score(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 columns = [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(found, pa.float64()), pa.array((found >= threshold).astype(np.int32), pa.int32())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "score", "predicted"])
@@ -53,7 +53,7 @@ def kept(docs: DataFrame, score: Callable[[np.ndarray, np.ndarray], np.ndarray],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column(at))
-            for a, b in slices(offsets, 2 << 20):
+            for a, b in slices(offsets, 1 << 20):
                 found = score(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 yield batch.slice(a, b - a).filter(pa.array(found >= threshold))
 

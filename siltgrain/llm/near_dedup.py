@@ -121,7 +121,7 @@ def samples(s: Shingled, weight: np.ndarray) -> np.ndarray:
     return out
 
 
-def _batches(batches: Iterator[pa.RecordBatch], most: int = 2 << 20) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+def _batches(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
     for batch in batches:
         data, offsets = text_bytes(batch.column(1))
         for a, b in slices(offsets, most):

@@ -103,7 +103,7 @@ def features(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
-            for a, b in slices(offsets, 4 << 20):
+            for a, b in slices(offsets, 1 << 20):
                 counts, votes = count_texts(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 columns = [batch.column(0).slice(a, b - a).cast(pa.int64()), *(pa.array(counts[k], pa.int64()) for k in COUNTS), pa.array(_as_strings(votes))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", *COUNTS, "votes"])
@@ -165,7 +165,7 @@ def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column(at))
-            for a, b in slices(offsets, 4 << 20):
+            for a, b in slices(offsets, 1 << 20):
                 counts, votes = count_texts(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 keep = ~base_failed(counts) & (np.array([known[v] for v in _as_strings(votes)]) >= threshold)
                 yield batch.slice(a, b - a).filter(pa.array(keep))

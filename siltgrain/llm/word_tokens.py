@@ -59,7 +59,7 @@ class _Codes(dict):
 class WordTokenizer:
     """encode() of many texts at once. most: about the number of distinct words kept; beyond it the rarer half goes, which changes no result."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 200_000):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         with open(path) as f:
@@ -159,7 +159,7 @@ class WordTokenizer:
         return out, of_text + n
 
 
-def worker_tokenizer(path: str, most: int = 400_000) -> WordTokenizer:
+def worker_tokenizer(path: str, most: int = 200_000) -> WordTokenizer:
     """The tokenizer of this process, loaded once and kept between tasks."""
     if (path, most) not in _LOADED:
         _LOADED[path, most] = WordTokenizer(path, most)
@@ -171,7 +171,7 @@ def texts_of(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def in_slices(batches, most: int = 4 << 20):
+def in_slices(batches, most: int = 2 << 20):
     """(doc_id column, texts) of a stream of batches of doc_id and text, some ``most`` bytes of text at a time."""
     for batch in batches:
         texts = texts_of(batch.column(1))
