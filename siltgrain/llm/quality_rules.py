@@ -23,8 +23,6 @@ from siltgrain.llm.common import Scratch, slices, text_bytes
 from siltgrain.llm.textops import Lines, Words, sums
 
 MIN_WORDS, MAX_REPEATED, WINDOW = 20, 0.3, 8
-#: The most that a rule may be estimated to call bad of the good documents.
-MOST_FALSE = 0.02
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SCHEMA = "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, votes string"
 SYMBOL, UPPER, LETTER, STOP = (np.zeros(256, bool) for _ in range(4))
@@ -116,19 +114,22 @@ def fit(votes: np.ndarray, weights: np.ndarray, rounds: int = 200) -> np.ndarray
 
     Documents are good, or bad in the way that one of the rules is about: junk of one kind need not break the other rules, so one class of "bad" alone
     would take rules that fire on different junk for unreliable ones. Each rule has in each class a rate of calling a document bad when it votes, which
-    is its accuracy there; abstentions say nothing. The first guess is that a document is good if no rule calls it bad, and else of the kinds of those
-    that do. A rule calls at most ``MOST_FALSE`` of the good documents bad, and at least half of those of its own kind. Each rate starts from one
-    made-up document.
+    is its accuracy there; abstentions say nothing. All rates are estimated, with no limits but one of order: no rule calls good documents bad more often
+    than those of any bad class. So a rule whose calls keep off other rules' junk is right about its own, and one that fires alike on everything is
+    unreliable. The first guess counts twice for good and once for each rule that calls a document bad; it decides where the votes show neither. Each
+    rate starts from one made-up document.
     """
     fires, passes = (votes == 0).astype(float), (votes == 1).astype(float)
-    p = np.column_stack([np.where(fires.any(1), 0.02, 0.98), fires + 0.001])
+    p = np.column_stack([np.full(len(votes), 2.0), fires + 0.001])
     p /= p.sum(1, keepdims=True)
-    own = np.arange(votes.shape[1])
     for _ in range(rounds):
         by_class = p * weights[:, None]
-        rates = (by_class.T @ fires + 0.05) / (by_class.T @ (fires + passes) + 1)
-        rates[0] = np.minimum(rates[0], MOST_FALSE)
-        rates[own + 1, own] = np.maximum(rates[own + 1, own], 0.5)
+        called, voted = by_class.T @ fires + 0.05, by_class.T @ (fires + passes) + 1
+        rates = called / voted
+        least = np.vstack([np.zeros((1, votes.shape[1]), int), np.argsort(rates[1:], 0) + 1])  # good, then the bad classes by their rates
+        pooled = np.take_along_axis(called, least, 0).cumsum(0) / np.take_along_axis(voted, least, 0).cumsum(0)
+        rates = np.maximum(rates, pooled.min(0))  # the most likely rates in that order: good takes in the classes below it
+        rates[0] = pooled.min(0)
         odds = np.log(by_class.sum(0) + 0.1) + fires @ np.log(rates).T + passes @ np.log1p(-rates).T
         new = np.exp(odds - odds.max(1, keepdims=True))
         new /= new.sum(1, keepdims=True)

@@ -142,6 +142,22 @@ def test_estimates_find_good_rules():
     assert (p[fired] < 0.5).all() and (p[~fired] > 0.5).all()
 
 
+def test_one_vote_of_an_unreliable_rule_does_not_reject():
+    """Four rules agree on the bad documents; the last one fires at random on all."""
+    rng = np.random.default_rng(6)
+    good = rng.random(4000) < 0.8
+    votes = np.full((4000, len(quality_rules.RULES)), 1, np.uint8)
+    for j in range(3, 7):
+        votes[~good & (rng.random(4000) < 0.8), j] = 0
+    votes[rng.random(4000) < 0.15, -1] = 0
+    votes[rng.random(votes.shape) < 0.1] = 2
+    p = quality_rules.fit(votes, np.ones(4000))
+    fired = votes == 0
+    alone, several = fired[:, -1] & (fired.sum(1) == 1), fired[:, 3:7].sum(1) >= 2
+    assert alone.sum() > 300 and several.sum() > 600
+    assert (p[alone] > 0.5).all() and (p[several] < 0.5).all() and (p[~fired.any(1)] > 0.5).all()
+
+
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
