@@ -1,7 +1,7 @@
 """The registered queries of the retrieval engine and their DuckDB SQL, over whole tables.
 
 Texts of the test tables are free, so they are normalised first (see functions.text.normalized). The query batches are a fixed one and one made of the
-first four words of each benchmark passage. Indexes are kept for the session.
+first four words of each benchmark passage; the queries named ..._whole take the whole passages. Indexes are kept for the session.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ SQL_DL = "dl AS (SELECT docid, len(words)::BIGINT AS doc_len FROM docs)"
 SQL_ST = "st AS (SELECT count(*)::BIGINT AS n_docs, coalesce(sum(doc_len), 0)::BIGINT AS total_len, sum(doc_len)::DOUBLE / count(*) AS avg_len FROM dl)"
 SQL_BENCH = r"""q AS (SELECT qid, unnest(t) AS term, unnest(range(len(t)))::INT AS term_pos FROM
   (SELECT item_id::INT AS qid, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')[1:4] AS t FROM benchmark))"""
+SQL_WHOLE = r"""q AS (SELECT qid, unnest(t) AS term, unnest(range(len(t)))::INT AS term_pos FROM
+  (SELECT item_id::INT AS qid, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS t FROM benchmark))"""
 SQL_FIXED = f"""q AS (SELECT qid, unnest(t) AS term, unnest(range(len(t)))::INT AS term_pos FROM
   (SELECT qid, string_split(s, ' ') AS t FROM (VALUES {", ".join(f"({i}, '{s}')" for i, s in BATCH)}) v(qid, s)))"""
 SQL_KQ = "kq AS (SELECT q.qid, q.term_pos, q.term, d.df FROM q JOIN dfs d USING (term))"
@@ -75,6 +77,12 @@ def benchmark_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").cast("int").alias("qid"), F.posexplode(first).alias("term_pos", "term"))
 
 
+def passage_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words of each benchmark passage."""
+    every = words(normalized(F.col("text")))
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").cast("int").alias("qid"), F.posexplode(every).alias("term_pos", "term"))
+
+
 @query("SELECT doc_id AS docid, array_to_string(words, ' ') AS text FROM (SELECT docid AS doc_id, words FROM docs)", SQL_DOCS)
 def scan_documents(spark, sf_dir):
     lines = docs(spark, sf_dir).select(F.concat_ws("\t", F.col("docid").cast("string"), "text").alias("value"))
@@ -328,3 +336,53 @@ def hash_int_mix(spark, sf_dir):
 @query("SELECT DISTINCT l_partkey FROM lineitem")
 def int_set_distinct(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_partkey").distinct()
+
+
+@query("SELECT qid, term_pos, term FROM q", SQL_WHOLE)
+def query_parse_whole(spark, sf_dir):
+    found = passage_batch(spark, sf_dir).groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("term_pos", "term"))).alias("t"))
+    line = F.concat_ws(" ", F.col("qid").cast("string"), F.size("t").cast("string"), F.array_join("t.term", " "))
+    return collection.parse_queries(found.select(line.alias("value"), F.lit(1).cast("bigint").alias("seq")))
+
+
+@query("SELECT qid, unnest(t) AS term, unnest(range(len(t)))::INT AS term_pos FROM (SELECT (item_id % 7)::INT AS qid, max_by(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), item_id) AS t FROM benchmark GROUP BY 1)")
+def query_last_wins_whole(spark, sf_dir):
+    table = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    text = normalized(F.col("text"))
+    line = F.concat_ws(" ", (F.col("item_id") % 7).cast("string"), F.size(words(text)).cast("string"), text)
+    return collection.parse_queries(table.select(line.alias("value"), F.col("item_id").alias("seq")))
+
+
+@query("SELECT qid, term_pos, term, df FROM kq", SQL_DOCS, SQL_TOK, SQL_POST, SQL_DF, SQL_WHOLE, SQL_KQ)
+def query_term_stats_whole(spark, sf_dir):
+    return retrieve.known_terms(kept_index(spark, sf_dir), passage_batch(spark, sf_dir))
+
+
+@query("SELECT qid, term, row_number() OVER (PARTITION BY qid ORDER BY df, term_pos)::BIGINT AS ord FROM kq", SQL_DOCS, SQL_TOK, SQL_POST, SQL_DF, SQL_WHOLE, SQL_KQ)
+def query_term_order_whole(spark, sf_dir):
+    return retrieve.ordered_terms(kept_index(spark, sf_dir), passage_batch(spark, sf_dir)).select("qid", "term", "ord")
+
+
+@query("SELECT qid, min(df) AS min_df FROM kq GROUP BY 1", SQL_DOCS, SQL_TOK, SQL_POST, SQL_DF, SQL_WHOLE, SQL_KQ)
+def query_min_df_whole(spark, sf_dir):
+    return retrieve.least_df(kept_index(spark, sf_dir), passage_batch(spark, sf_dir))
+
+
+@query("SELECT qid, docid FROM both_", SQL_DOCS, SQL_TOK, SQL_POST, SQL_DF, SQL_WHOLE, SQL_KQ, SQL_AND)
+def svs_batch_whole(spark, sf_dir):
+    return retrieve.conjunctive(kept_index(spark, sf_dir), passage_batch(spark, sf_dir))
+
+
+@query("SELECT qid, count(*)::BIGINT AS n_hits, min(score) AS least_score, max_by(docid, rank) AS last_docid FROM top GROUP BY 1", SQL_DOCS, SQL_TOK, SQL_POST, SQL_DF, SQL_DL, SQL_ST, SQL_WHOLE, SQL_KQ, SQL_SCORE, SQL_RANKED)
+def topk_threshold_whole(spark, sf_dir):
+    return retrieve.thresholds(kept_index(spark, sf_dir), passage_batch(spark, sf_dir), TOP)
+
+
+@query("SELECT qid, docid, score, rank FROM top", SQL_DOCS, SQL_TOK, SQL_POST, SQL_DF, SQL_DL, SQL_ST, SQL_WHOLE, SQL_KQ, SQL_SCORE, SQL_RANKED)
+def wand_topk_whole(spark, sf_dir):
+    return retrieve.retrieve(kept_index(spark, sf_dir), passage_batch(spark, sf_dir), "WAND", TOP)
+
+
+@query("SELECT DISTINCT term FROM q WHERE term IN (SELECT term FROM dfs)", SQL_DOCS, SQL_TOK, SQL_POST, SQL_DF, SQL_WHOLE)
+def terms_semi_join_whole(spark, sf_dir):
+    return passage_batch(spark, sf_dir).select("term").join(kept_index(spark, sf_dir).terms, "term", "left_semi").distinct()

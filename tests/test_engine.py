@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from siltgrain import cli
+from siltgrain import catalog, cli
 from siltgrain.functions import hashing
 from siltgrain.functions.text import normalized, tokens
 from siltgrain.operators import blocks, index, inspect, retrieve
@@ -207,3 +207,28 @@ def test_stream_of_documents(spark, tmp_path):
     assert found.stats.first()[:] == (8, 17, 2.125)
     ranked = sorted((r.qid, r["rank"], r.docid, r.score) for r in retrieve.disjunctive(found, batch(spark, [q for q, _, _ in GOLDEN])).collect())
     assert ranked == [(i, k, d, s) for i, (_, _, want) in enumerate(GOLDEN) for k, (d, s) in enumerate(want, 1)]
+
+
+def test_whole_passages_become_queries(spark, tmp_path):
+    passages = {1: "Aa bb, cc dd ee ff gg", 8: "gg ff ee dd cc bb aa hh", 3: "", 4: None}
+    texts = [[w for k, w in enumerate(("aa", "bb", "cc", "dd", "ee", "ff", "gg")) if i % (k + 2) or i < 10] for i in range(30)]
+    spark.createDataFrame(list(passages.items()), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    asked = {1: "aa bb cc dd ee ff gg".split(), 8: "gg ff ee dd cc bb aa hh".split()}
+
+    def rows(name):
+        return sorted(map(tuple, catalog.QUERIES[name](spark, str(tmp_path)).collect()))
+
+    assert rows("query_parse_whole") == sorted((q, k, t) for q, ts in asked.items() for k, t in enumerate(ts))
+    assert rows("query_last_wins_whole") == [(1, k, t) for k, t in enumerate(asked[8])]
+    df = {t: sum(t in text for text in texts) for t in asked[1]}
+    known = [(q, k, t, df[t]) for q, ts in asked.items() for k, t in enumerate(ts) if t in df]
+    assert rows("query_term_stats_whole") == sorted(known)
+    assert rows("query_term_order_whole") == sorted((q, t, n) for q in asked for n, (_, _, t) in enumerate(sorted((d, k, t) for i, k, t, d in known if i == q), 1))
+    assert rows("query_min_df_whole") == [(q, min(df.values())) for q in asked]
+    assert rows("svs_batch_whole") == [(q, i) for q in asked for i, text in enumerate(texts) if len(text) == 7]
+    assert rows("terms_semi_join_whole") == [(t,) for t in asked[1]]
+    avg = sum(map(len, texts)) / 30
+    scores = sorted((-round(sum(1.5 / (0.5 * (0.7 + 0.3 * len(text) / avg) + 1) * math.log((30 - df[t] + 0.5) / (df[t] + 0.5)) for t in text), 6), i) for i, text in enumerate(texts) if text)[:10]
+    assert rows("wand_topk_whole") == [(q, i, pytest.approx(-s, abs=2e-6), n) for q in asked for i, s, n in sorted((i, s, n) for n, (s, i) in enumerate(scores, 1))]
+    assert rows("topk_threshold_whole") == [(q, 10, pytest.approx(-scores[-1][0], abs=2e-6), scores[-1][1]) for q in asked]
