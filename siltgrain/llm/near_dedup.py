@@ -10,9 +10,9 @@ themselves make frequent, still outweighs what sets them apart. df is counted ov
    verified against its centres by the exact weighted Jaccard similarity. Links are the edges of a graph whose components are found by label propagation
    with pointer jumping over tables in the shared folder.
 4. A bucket whose texts are not all in one component is gone over again, in blocks: each text outside its centre's component is compared with every text
-   of the bucket in another component. First the pairs with the most equal samples are verified, which links most; then, of what is still apart, all
-   whose samples are not clearly apart, inside their block, so that only links come out. So within a bucket no pair of texts of different components
-   stays uncompared, and no group is held whole by one task.
+   of the bucket in another component. First the pairs with the most equal samples are verified, which links most; then all that are still apart, inside
+   their block, so that only links come out; only pairs whose total weights already rule out the threshold are passed over. So within a bucket no pair of
+   texts of different components stays uncompared, and no group is held whole by one task.
 
 Nothing of all documents comes to the driver but the sketch. Defined results: a null text, or one without words, is in a class of its own; rows with a
 null doc_id are in no class (keep_one keeps them); rows that repeat a doc_id count as one document; an empty table gives no
@@ -36,7 +36,7 @@ SHINGLE, THRESHOLD, IDF_SHARE = 5, 0.8, 0.05
 BANDS, ROWS = 16, 4
 #: Cells of the count-min sketch: DEPTH rows of 2 ** WIDTH, written in CHUNKS parts.
 DEPTH, WIDTH, CHUNKS = 2, 20, 512
-#: The share of equal samples from which a pair is verified in step 4: four standard deviations below the threshold.
+#: The share of equal samples from which a pair is verified first in step 4: four standard deviations below the threshold.
 NEAR = THRESHOLD - 4 * (THRESHOLD * (1 - THRESHOLD) / (BANDS * ROWS)) ** 0.5
 BLOCK, BEST = 2048, 8
 _TABLE_BITS = 14
@@ -324,22 +324,22 @@ def _best_pairs(inside: DataFrame, sampled: DataFrame, best: int) -> DataFrame:
 def _rest_links(inside: DataFrame, sampled: DataFrame, texts: DataFrame, sketch: _Sketch) -> DataFrame:
     """All links between texts that share a bucket but no component, one of them outside its centre's: verified where they lie, so that only links come out.
 
-    A pair is looked at in the first band in which its texts meet, unless its samples are clearly apart.
+    A pair is looked at in the first band in which its texts meet. Its similarity is at most the smaller total weight over the larger.
     """
-    with_text = inside.join(sampled.select("doc_id", "bands", "low"), "doc_id").join(texts.hint("merge"), "doc_id")
+    with_text = inside.join(sampled.select("doc_id", "bands"), "doc_id").join(texts.hint("merge"), "doc_id")
     blocks = _in_blocks(with_text, F.length("text") + 64, 2 << 20)
 
     def compare(keys: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches)).combine_chunks()
         ids, group, asks = (table.column(c).to_numpy() for c in ("doc_id", "class", "asks"))
-        low = np.frombuffer(b"".join(table.column("low").to_pylist()), "<u2").reshape(len(ids), -1)
         bands = np.array(table.column("bands").to_pylist(), np.int64).reshape(len(ids), -1)
         mine, band = np.flatnonzero(asks == 0), keys[0].as_py()
         s = Shingled(*text_bytes(table.column("text")))
         w = sketch.weights(s)
         total = np.add.reduceat(np.append(w, 0.0), s.bounds[:-1]) * (np.diff(s.bounds) > 0)
         for i in np.flatnonzero(asks == 1):
-            near = ((low[mine] == low[i]).mean(1) >= NEAR) & (group[mine] != group[i]) & ((bands[mine] == bands[i]).argmax(1) == band)
+            least, most = np.minimum(total[mine], total[i]), np.maximum(total[mine], total[i])
+            near = (least >= (THRESHOLD - 1e-9) * most) & (group[mine] != group[i]) & ((bands[mine] == bands[i]).argmax(1) == band)
             at = mine[near]
             if not len(at):
                 continue

@@ -158,3 +158,15 @@ def test_pipeline(spark):
     for r in packed:
         by.setdefault(r.sequence_id, []).append((r.offset, r.length))
     assert all(sum(n for _, n in v) <= 2048 for v in by.values())
+
+
+def test_pairs_left_apart_are_verified_whatever_their_samples(spark):
+    """Three texts of one bucket without a single equal sample: two are near copies, the third is not."""
+    long = " ".join(f"w{i}" for i in range(200))
+    rows = [(1, f"{long} end"), (2, f"{long} other"), (3, " ".join(f"v{i}" for i in range(200)))]
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    sketch = near_dedup._Sketch(spark, near_dedup._count(texts).collect(), 3)
+    inside = spark.createDataFrame([(0, 7, i, i, 3) for i in (1, 2, 3)], "band int, bucket long, doc_id long, class long, main long")
+    low = [(i, [7] + [i] * (near_dedup.BANDS - 1), bytes([i, 0] * near_dedup.BANDS * near_dedup.ROWS)) for i in (1, 2, 3)]
+    sampled = spark.createDataFrame(low, "doc_id long, bands array<long>, low binary")
+    assert [tuple(r) for r in near_dedup._rest_links(inside, sampled, texts, sketch).collect()] == [(1, 2)]
