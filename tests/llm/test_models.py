@@ -1,6 +1,7 @@
 """Operators 1, 2, 3 and 9: brute force, the library and held-out accuracy."""
 
 import itertools
+import random
 import re
 import zlib
 from collections import Counter
@@ -178,6 +179,17 @@ def test_sentencepiece_equals_the_library(spark):
     assert None in rows and sentencepiece_codec.encode(docs.limit(0), PIECES).count() == 0
 
 
+def test_sentencepiece_equals_the_library_on_run_together_pieces():
+    import sentencepiece
+
+    library, codec, rng = sentencepiece.SentencePieceProcessor(model_file=PIECES), sentencepiece_codec.Codec(PIECES, most=500), random.Random(1)
+    pieces = [*codec.rank]
+    texts = ["".join(rng.choice(pieces) if rng.random() < 0.7 else rng.choice(["aa", "  ", "\n", "é", "漢", "====", "aaaa", "▁", "▁▁"]) for _ in range(rng.randint(1, 6))) for _ in range(4000)]
+    for i in range(0, 4000, 400):
+        for text, ids in zip(texts[i : i + 400], codec.encode(texts[i : i + 400]), strict=True):
+            assert ids == library.encode(text) and codec.decode(ids) == library.decode(ids)
+
+
 def test_sentencepiece_word_tables_change_nothing():
     small, large = sentencepiece_codec.Codec(PIECES, most=2), sentencepiece_codec.worker_codec(PIECES)
     texts = ["alpha beta alphabet", "beta alp", "alpha betas", "alphabets alpha"] * 2
