@@ -164,7 +164,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, se
             payload = encode_segment(np.concatenate(ids), np.concatenate(keys), np.concatenate(sizes))
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "segment": pa.array([number], pa.int32()), "part_start": [before], "n_docs": [sum(map(len, sizes))], "n_tokens": [held], "payload": pa.array([payload], pa.binary())})
 
-        for doc_ids, texts in in_slices(batches, 2 << 20):
+        for doc_ids, texts in in_slices(batches):
             got, offsets = words.encode(texts, end_id)
             ids.append(got)
             keys.append(doc_ids.cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False))
@@ -194,8 +194,9 @@ def read_tokens(spark, path: str, with_ids: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, before, payload in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                ids, doc_ids, sizes = decode_segment(payload)
+            for row in range(len(batch)):
+                part, before = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
+                ids, doc_ids, sizes = decode_segment(batch.column(2)[row].as_buffer())
                 raw = memoryview(ids.astype("<u4")).cast("B")
                 ends = np.cumsum(sizes)
                 parts = [raw[4 * (b - k) : 4 * b] for b, k in zip(ends.tolist(), sizes.tolist(), strict=True)]

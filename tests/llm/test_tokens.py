@@ -1,5 +1,7 @@
 """Operators 4 and 5 against plain use of the tokenizers library."""
 
+import json
+import random
 import zlib
 
 import numpy as np
@@ -9,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from siltgrain.llm import packing, token_files
+from siltgrain.llm import packing, token_files, word_tokens
 from siltgrain.llm.word_tokens import worker_tokenizer
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -41,6 +43,23 @@ def test_ids_equal_the_library(texts):
         assert ids[offsets[i] : offsets[i + 1]].tolist() == want.tolist()
 
 
+def test_words_of_vocabulary_tokens_equal_the_library():
+    """Every token of the file by itself, and random ones run together."""
+    byte = word_tokens._bytes_of_marks()
+    with open(PATH) as f:
+        plain = [bytes(byte[c] for c in t.removesuffix("</w>")).decode("utf-8", "ignore") for t in json.load(f)["model"]["vocab"]]
+    rng = random.Random(2)
+    texts = [" ".join(plain[i : i + 200]) for i in range(0, len(plain), 200)] + [" ".join("".join(rng.choices(plain, k=3)) for _ in range(50)) for _ in range(60)]
+    ids, offsets = worker_tokenizer(PATH).encode([x.encode() for x in texts], 1)
+    for i, want in enumerate(reference_ids(texts, 1)):
+        assert ids[offsets[i] : offsets[i + 1]].tolist() == want.tolist()
+
+
+def test_a_long_plain_word_before_another_one_takes_no_time():
+    text = "a" * 3000 + " " + "b" * 3000 + "漢"
+    assert worker_tokenizer(PATH).encode([text.encode()], 1)[0].tolist() == reference_ids([text], 1)[0].tolist()
+
+
 def test_a_small_word_table_changes_nothing():
     t = worker_tokenizer(PATH, most=3)
     for text, want in zip(ODD, reference_ids(ODD, 7), strict=True):
