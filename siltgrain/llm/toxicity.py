@@ -5,10 +5,11 @@ average, so an unseen spelling shares the vectors of the pieces that it keeps. T
 linear softmax over that gives its class. A text has windows of ``WINDOW`` words, half overlapping, and is as toxic as its most toxic window, in
 training as in scoring: a few words in a long text are not averaged away. After training each n-gram's vector and the softmax fold into one number.
 
-Only labels, of at most ``most_per_class`` documents of each class (those with the smallest hashes), come to the driver with their texts.
+Training takes a fixed number of steps, whatever the number of texts, so that few labels are gone over more often. Only labels, of at most ``most_per_class`` documents of each class (those with the smallest hashes), come to the driver with their texts.
 
 Defined results: a null or empty text has no words and scores as the bias alone does; a null doc_id stays null and counts as not held out; repeated
-rows are scored once each; without labels of both classes every score is 0; an empty table gives no rows; other columns are ignored.
+rows are scored once each; without labels of both classes every score is 0; an empty table gives no rows; other columns are ignored. A very long text is
+scored whole, by one task that holds it with the n-grams of its distinct words.
 """
 
 from __future__ import annotations
@@ -21,10 +22,10 @@ from siltgrain.llm.labelled import scored, training_rows
 from siltgrain.llm.textops import LOWER, Hashes, cuts, owner, salted
 
 BUCKETS = 20  # bits
-#: Training texts that an n-gram must occur in to be learnt: what one text alone has says nothing of others.
-LEAST_TEXTS = 3
+#: Training texts that an n-gram must occur in to be learnt: so many, or this share of them if that is more. What a few texts have says nothing of others.
+LEAST_TEXTS, LEAST_SHARE = 3, 1 / 200
 GRAMS = (3, 4, 5)
-WINDOW = 48
+WINDOW = 6
 _FOLD = LOWER.copy()
 _FOLD[[i for i in range(128) if not (chr(i).isalnum())]] = 32
 
@@ -73,7 +74,7 @@ def windows(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return text, first, np.minimum(first + WINDOW, counts[text])
 
 
-def train(texts: list[str], labels: np.ndarray, size: int = 8, rounds: int = 8, batch: int = 64, rate: float = 0.02, decay: float = 1e-4, toxic_weight: float = 7 / 3, seed: int = 7) -> tuple[np.ndarray, float]:
+def train(texts: list[str], labels: np.ndarray, size: int = 8, updates: int = 3400, batch: int = 16, rate: float = 0.02, decay: float = 0.05, toxic_weight: float = 7 / 3, seed: int = 7) -> tuple[np.ndarray, float]:
     """(number of each n-gram, bias): the difference of the classes' logits. The most toxic window of each text, as it then stands, takes the gradient.
 
     toxic_weight: of a toxic text against another. With 7 / 3, what is as likely as not for classes of one size scores 0.7.
@@ -88,7 +89,7 @@ def train(texts: list[str], labels: np.ndarray, size: int = 8, rounds: int = 8,
         order = np.argsort(bags.word, kind="stable")
         parts.append((labels[i : i + batch], bags.gram[order], bags.word[order], bags.size, text, bags.bounds[text] + first, bags.bounds[text] + last))
         pairs.append(np.unique(owner(bags.word, bags.bounds) << BUCKETS | bags.gram) & ((1 << BUCKETS) - 1))
-    learnt = np.flatnonzero(np.bincount(np.concatenate(pairs), minlength=1 << BUCKETS) >= LEAST_TEXTS)
+    learnt = np.flatnonzero(np.bincount(np.concatenate(pairs), minlength=1 << BUCKETS) >= max(LEAST_TEXTS, LEAST_SHARE * len(texts)))
     number = np.full(1 << BUCKETS, -1, np.int32)
     number[learnt] = np.arange(len(learnt))
     n = len(learnt)
@@ -101,6 +102,7 @@ def train(texts: list[str], labels: np.ndarray, size: int = 8, rounds: int = 8,
     params = [vectors, softmax, np.zeros(2, np.float32)]
     means, squares = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     step = 0
+    rounds = -(-updates // len(parts))
     for round_ in range(rounds):
         for k in rng.permutation(len(parts)):
             y, gram, kept, sizes, text, first, last = parts[k]
@@ -161,8 +163,7 @@ def model_of(docs: DataFrame, labels: DataFrame, most_per_class: int = 1500) ->
     rows = training_rows(docs, labels, "toxic", most_per_class)
     if len({y for y, _ in rows}) < 2:
         return np.zeros(1 << BUCKETS, np.float32), -50.0
-    # Few texts make few steps a round, so they get more rounds.
-    return train([t for _, t in rows], np.array([y for y, _ in rows]), rounds=max(6, min(60, 18_000 // len(rows))), decay=0.01)
+    return train([t for _, t in rows], np.array([y for y, _ in rows]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, most_per_class: int = 1500) -> DataFrame:

@@ -11,6 +11,7 @@ import public_tokenizers
 import pytest
 
 from siltgrain.llm import line_crf, quality_rules, sentencepiece_codec, toxicity
+from siltgrain.llm.textops import Hashes
 
 SF = "/root/testdata/sf0.1"
 ODD = [None, "", " ", "\n\n \n", "word", "a b c", "é" * 50, "x " * 5000, "same line here\n" * 30, "!!! ### |||", "tab\tsep\x0bvt\x0cff\rcr"]
@@ -27,9 +28,9 @@ def area(scores, labels):
     return (np.searchsorted(zeros, ones, "left").mean() + np.searchsorted(zeros, ones, "right").mean()) / 2 / len(zeros)
 
 
-@pytest.mark.parametrize(("module", "column", "right", "ordered"), [(toxicity, "toxic", 0.88, 0.8), (line_crf, "quality", 0.97, 0.97)])
-def test_held_out_accuracy(spark, module, column, right, ordered):
-    """At sf0.1 there are 300 toxic documents to learn from, a third of them without any toxic word."""
+@pytest.mark.parametrize(("module", "column", "precision", "recall", "ordered"), [(toxicity, "toxic", 0.9, 0.55, 0.88), (line_crf, "quality", 0.97, 0.97, 0.97)])
+def test_held_out_accuracy(spark, module, column, precision, recall, ordered):
+    """At sf0.1 there are 300 toxic documents to learn from, a third of them without any toxic word: a list of the ten words finds 0.67 of those held out."""
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     known = {r.doc_id: r[column] for r in labels.collect()}
     rows = module.classify(docs, labels).collect()
@@ -38,8 +39,38 @@ def test_held_out_accuracy(spark, module, column, right, ordered):
     for r in rows:
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1 and r.predicted == (r.score >= threshold)
     held = [(r, known[r.doc_id]) for r in rows if r.held_out and r.doc_id in known]
-    assert np.mean([r.predicted == y for r, y in held]) >= right
-    assert area([r.score for r, _ in held], [y for _, y in held]) >= ordered
+    found, wanted = np.array([r.predicted for r, _ in held]), np.array([y for _, y in held])
+    assert wanted[found == 1].mean() >= precision and found[wanted == 1].mean() >= recall
+    assert (found == wanted).mean() >= max(wanted.mean(), 1 - wanted.mean()) + 0.04
+    assert area([r.score for r, _ in held], wanted) >= ordered
+
+
+def test_scores_equal_those_of_a_plain_scorer():
+    """Window by window and n-gram by n-gram."""
+    rng = np.random.default_rng(3)
+    numbers, bias = rng.normal(0, 3, 1 << toxicity.BUCKETS).astype(np.float32), -0.4
+
+    def hashed(part):
+        return int(Hashes(np.frombuffer(part, np.uint8)).of(np.array([0]), np.array([len(part)]))[0] >> np.uint64(64 - toxicity.BUCKETS))
+
+    def plain(text):
+        folded = "".join(c.lower() if "a" <= c.lower() <= "z" or c.isdigit() or c > "\x7f" else " " for c in text)
+        values = []
+        for word in dict.fromkeys(w.encode() for w in folded.split(" ") if w):
+            edged = b" " + word + b" "
+            parts = [word, *(edged[i : i + n] for n in toxicity.GRAMS for i in range(len(edged) - n + 1))]
+            values.append(sum(float(numbers[hashed(x)]) for x in parts) / len(parts))
+        half, best = toxicity.WINDOW // 2, None
+        for first in range(0, max(1, len(values) - half), half):
+            some = values[first : first + toxicity.WINDOW]
+            mean = sum(some) / max(1, len(some))
+            best = mean if best is None else max(best, mean)
+        return 1 / (1 + np.exp(-(best + bias)))
+
+    texts = ["", "one", "Two words, TWO", "a b c d e f g", "Été déjà vu: çà et LÀ! x1 y22", " ".join(f"w{i % 40}x" for i in range(300)), "!!!"]
+    raw = [t.encode() for t in texts]
+    got = toxicity.score(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]), numbers, bias)
+    assert np.allclose(got, [plain(t) for t in texts], atol=1e-5)
 
 
 @pytest.mark.parametrize("module", [toxicity, line_crf])
@@ -64,7 +95,7 @@ def test_unseen_spellings_share_pieces():
             words[int(rng.integers(30))] = "bastardly"
         texts.append(" ".join(words))
         labels.append(i % 2)
-    numbers, bias = toxicity.train(texts, np.array(labels), rounds=45)
+    numbers, bias = toxicity.train(texts, np.array(labels), updates=1200)
     score = lambda t: toxicity.score(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]), numbers, bias)[0]
     assert score(" ".join(plain[:20]) + " bastardli") > 0.5 > score(" ".join(plain[:20]))
 
@@ -159,6 +190,35 @@ def test_one_vote_of_an_unreliable_rule_does_not_reject():
     assert (p[alone] > 0.5).all() and (p[several] < 0.5).all() and (p[~fired.any(1)] > 0.5).all()
 
 
+def plain_estimate(votes, rounds=300):
+    """The posterior of "good" with one class of each kind."""
+    fires, passes = (votes == 0).astype(float), (votes == 1).astype(float)
+    p = passes.sum(1) / np.maximum((fires + passes).sum(1), 1)
+    for _ in range(rounds):
+        by = np.column_stack([p, 1 - p])
+        rates = (by.T @ fires + 0.05) / (by.T @ (fires + passes) + 1)
+        odds = np.log(by.sum(0) + 0.1) + fires @ np.log(rates).T + passes @ np.log1p(-rates).T
+        p = 1 / (1 + np.exp(odds[:, 1] - odds[:, 0]))
+    return p
+
+
+@pytest.mark.parametrize(("exclusive", "plain_too"), [(False, True), (True, False)])
+def test_a_random_rule_is_outvoted(exclusive, plain_too):
+    """Three sound rules, on the same junk or on junk of their own each, and one that votes bad at random on 30 %."""
+    rng = np.random.default_rng(0)
+    good, kind = rng.random(20_000) < 0.8, rng.integers(0, 3, 20_000)
+    votes = np.ones((20_000, 4), np.uint8)
+    for j in range(3):
+        votes[~good & ((kind == j) | (not exclusive)) & (rng.random(20_000) < 0.9), j] = 0
+        votes[good & (rng.random(20_000) < 0.02), j] = 0
+    votes[rng.random(20_000) < 0.3, 3] = 0
+    p, plain = quality_rules.fit(votes, np.ones(20_000)), plain_estimate(votes)
+    alone = (votes[:, 3] == 0) & ((votes == 0).sum(1) == 1)
+    assert (p[alone] > 0.5).all() and ((p > 0.5) == good).mean() > 0.9
+    assert ((votes == 0).any(1) != good).mean() < 0.75 < ((p > 0.5) == good).mean()
+    assert (((plain > 0.5) == good).mean() > 0.9) == plain_too and ((p > 0.5) == good).mean() >= ((plain > 0.5) == good).mean() - 0.002
+
+
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
