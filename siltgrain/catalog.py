@@ -6,6 +6,8 @@ first four words of each benchmark passage; the queries named ..._whole take the
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,6 +59,14 @@ def query(sql: str | None = None, *ctes: str):
     return keep
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Only a session on one machine may leave it unset: its temporary folder is not seen by executors elsewhere."""
+    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not known and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir is not set")
+    return (known or tempfile.gettempdir()).rstrip("/")
+
+
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("docid"), normalized(F.col("text")).alias("text"))
 
@@ -302,8 +312,7 @@ def docid_gaps_roundtrip(spark, sf_dir):
 
 @query("SELECT term, docid, tf FROM kept", SQL_DOCS, SQL_TOK, SQL_POST, SQL_DF, SQL_KEPT)
 def index_roundtrip(spark, sf_dir):
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "/tmp"
-    path = f"{folder.rstrip('/')}/siltgrain-index-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/siltgrain-index-{uuid.uuid4().hex}"
     kept_index(spark, sf_dir).write(path)
     return index.load(spark, path).postings.select("term", "docid", "tf")
 
@@ -326,7 +335,41 @@ def hash_bitwise(spark, sf_dir):
     return tokens(docs(spark, sf_dir)).select("term").distinct().select("term", hashing.word_hash(F.col("term")).alias("hash"))
 
 
-@query()
+def _mixer_sql() -> str:
+    """The four integer mixers over unsigned 128-bit numbers, reduced modulo 2 ** 64 or 2 ** 32 at each step; a step names the value before it as x."""
+    m64, m32 = (f"{1 << n}::UHUGEINT" for n in (64, 32))
+
+    def big(x: int) -> str:
+        return f"{x}::UHUGEINT"
+
+    def up(n: int) -> str:
+        return f"x * {big(1 << n)} % {m64}"
+
+    def down(n: int) -> str:
+        return f"x // {big(1 << n)}"
+
+    def down_signed(n: int) -> str:
+        return f"(x // {big(1 << n)} + CASE WHEN x >= {big(1 << 31)} THEN {big(((1 << n) - 1) << (32 - n))} ELSE {big(0)} END)"
+
+    j, m, n = hashing.JENKINS, hashing.MURMUR_64, hashing.MURMUR_32
+    steps = {
+        "shift_mix": [f"({big((1 << 64) - 1)} - x + {up(21)}) % {m64}", f"xor(x, {down(24)})", f"(x + {up(3)} + {up(8)}) % {m64}", f"xor(x, {down(14)})", f"(x + {up(2)} + {up(4)}) % {m64}", f"xor(x, {down(28)})", f"(x + {up(31)}) % {m64}"],
+        "add_xor_mix": [f"(x + {big(j[0])} + {up(12)}) % {m64}", f"xor(xor(x, {big(j[1])}), {down(19)})", f"(x + {big(j[2])} + {up(5)}) % {m64}", f"xor((x + {big(j[3])}) % {m64}, {up(9)})", f"(x + {big(j[4])} + {up(3)}) % {m64}", f"xor(xor(x, {big(j[5])}), {down(16)})"],
+        "murmur_mix": [f"xor(x, {down(33)})", f"x * {big(m[0])} % {m64}", f"xor(x, {down(33)})", f"x * {big(m[1])} % {m64}", f"xor(x, {down(33)})"],
+        "murmur_mix_int": [f"xor(x, {down_signed(16)})", f"x * {big(n[0])} % {m32}", f"xor(x, {down_signed(13)})", f"x * {big(n[1])} % {m32}", f"xor(x, {down_signed(16)})"],
+    }
+    out = []
+    for name, chain in steps.items():
+        bits, kind = (32, "INT") if name.endswith("int") else (64, "BIGINT")
+        value = f"(k::HUGEINT % {1 << bits}::HUGEINT + {1 << bits}::HUGEINT) % {1 << bits}::HUGEINT"
+        found = f"SELECT k, ({value})::UHUGEINT AS x FROM keys"
+        for step in chain:
+            found = f"SELECT k, {step} AS x FROM ({found})"
+        out.append(f"{name} AS (SELECT k, (CASE WHEN x >= {big(1 << (bits - 1))} THEN x::HUGEINT - {1 << bits}::HUGEINT ELSE x::HUGEINT END)::{kind} AS {name} FROM ({found}))")
+    return f"WITH keys AS (SELECT o_orderkey AS k FROM orders), {', '.join(out)} SELECT * FROM shift_mix JOIN add_xor_mix USING (k) JOIN murmur_mix USING (k) JOIN murmur_mix_int USING (k)"
+
+
+@query(_mixer_sql())
 def hash_int_mix(spark, sf_dir):
     table = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("k"))
     k = F.col("k")

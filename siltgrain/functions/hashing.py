@@ -19,6 +19,7 @@ LOW = 0xFFFFFFFF
 
 def add64(a: Column, b: Column) -> Column:
     """a + b modulo 2 ** 64."""
+    a, b = a.cast("bigint"), b.cast("bigint")  # a shift of an int by 32 would leave it as it is
     mask = F.lit(LOW)
     low = a.bitwiseAND(mask) + b.bitwiseAND(mask)
     high = F.shiftrightunsigned(a, 32) + F.shiftrightunsigned(b, 32) + F.shiftrightunsigned(low, 32)
@@ -43,7 +44,7 @@ def _bound(value: Column, steps) -> Column:
 
 
 def shift_mix(key: Column) -> Column:
-    """A 64-bit mixer of additions of shifted keys and right shifts."""
+    """Thomas Wang's 64-bit integer hash: additions of shifted keys and right shifts."""
     def right(n):
         return lambda k: k.bitwiseXOR(F.shiftrightunsigned(k, n))
 
@@ -60,16 +61,16 @@ def shift_mix(key: Column) -> Column:
 
 
 def add_xor_mix(key: Column) -> Column:
-    """A 64-bit mixer of alternating additions and exclusive ors with constants and shifted keys."""
-    c = [F.lit(x) for x in JENKINS]
-
-    def plus(i, n):
-        return lambda a: add64(add64(a, c[i]), F.shiftleft(a, n))
-
-    def xor(i, shifted):
-        return lambda a: a.bitwiseXOR(c[i]).bitwiseXOR(shifted(a))
-
-    steps = [plus(0, 12), xor(1, lambda a: F.shiftrightunsigned(a, 19)), plus(2, 5), xor(3, lambda a: F.shiftleft(a, 9)), plus(4, 3), xor(5, lambda a: F.shiftrightunsigned(a, 16))]
+    """Robert Jenkins' six-step integer hash, over 64 bits: each step brings in a constant and the shifted value, by addition or exclusive or."""
+    c = [F.lit(x).cast("bigint") for x in JENKINS]
+    steps = [
+        lambda a: add64(add64(a, c[0]), F.shiftleft(a, 12)),
+        lambda a: a.bitwiseXOR(c[1]).bitwiseXOR(F.shiftrightunsigned(a, 19)),
+        lambda a: add64(add64(a, c[2]), F.shiftleft(a, 5)),
+        lambda a: add64(a, c[3]).bitwiseXOR(F.shiftleft(a, 9)),
+        lambda a: add64(add64(a, c[4]), F.shiftleft(a, 3)),
+        lambda a: a.bitwiseXOR(c[5]).bitwiseXOR(F.shiftrightunsigned(a, 16)),
+    ]
     return _bound(key.cast("bigint"), steps)
 
 

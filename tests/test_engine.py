@@ -174,12 +174,39 @@ def test_hashes(spark):
             x = (x ^ x >> 33) * c % 2**64
         return x
 
-    texts, numbers = ["", "a", "hello", "zebra9" * 5], [0, 1, -1, 123456789012345, -(2**63), 2**63 - 1]
+    def wang(k):
+        k = ((k ^ 2**64 - 1) + (k << 21)) % 2**64
+        k ^= k >> 24
+        k = k * (1 + 2**3 + 2**8) % 2**64
+        k ^= k >> 14
+        k = k * (1 + 2**2 + 2**4) % 2**64
+        k ^= k >> 28
+        return k * (1 + 2**31) % 2**64
+
+    def jenkins(a):
+        a = (a * (1 + 2**12) + 0x7ED55D16) % 2**64
+        a ^= 0xC761C23C ^ a >> 19
+        a = (a * (1 + 2**5) + 0x165667B1) % 2**64
+        a = (a + 0xD3A2646C) % 2**64 ^ (a << 9) % 2**64
+        a = (a * (1 + 2**3) + 0xFD7046C5) % 2**64
+        return a ^ 0xB55A4F09 ^ a >> 16
+
+    def murmur_int(x):
+        for shift, c in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, 1)):
+            x = (x ^ x >> shift) * c % 2**32
+            x -= 2**32 * (x >= 2**31)
+        return x
+
+    texts, numbers = ["", "a", "hello", "zebra9" * 5], [0, 1, 2, -1, -7, 12345, 2**40 + 3, 123456789012345, -(2**63), 2**63 - 1]
     assert [r.h for r in spark.createDataFrame([(t,) for t in texts], "t string").select(hashing.word_hash(F.col("t")).alias("h")).collect()] == [word(t) for t in texts]
     rows = spark.createDataFrame([(n,) for n in numbers], "k long").select(hashing.murmur_mix(F.col("k")).alias("m"), hashing.mul64(F.col("k"), 0xC4CEB9FE1A85EC53).alias("p"), hashing.add64(F.col("k"), F.lit(2**63 - 5)).alias("s")).collect()
     assert [r.m % 2**64 for r in rows] == [murmur(n % 2**64) for n in numbers]
     assert [r.p % 2**64 for r in rows] == [n * 0xC4CEB9FE1A85EC53 % 2**64 for n in numbers]
     assert [r.s % 2**64 for r in rows] == [(n + 2**63 - 5) % 2**64 for n in numbers]
+    for n, r in zip(numbers, spark.createDataFrame([(n,) for n in numbers], "k long").select(*(f(F.col("k")).alias(f.__name__) for f in (hashing.shift_mix, hashing.add_xor_mix, hashing.murmur_mix))).collect(), strict=True):
+        assert (r.shift_mix % 2**64, r.add_xor_mix % 2**64, r.murmur_mix % 2**64) == (wang(n % 2**64), jenkins(n % 2**64), murmur(n % 2**64))
+    small = [0, 1, -1, 12345, -7, 2**31 - 1, -(2**31)]
+    assert [r.m for r in spark.createDataFrame([(n,) for n in small], "k int").select(hashing.murmur_mix_int(F.col("k")).alias("m")).collect()] == [murmur_int(n) for n in small]
     code = spark.range(1).select(hashing.pointer(F.lit(3), F.lit(2**32 - 2)).alias("c")).select("c", hashing.pointer_segment(F.col("c")).alias("s"), hashing.pointer_offset(F.col("c")).alias("o")).first()
     assert code[:] == (3 << 32 | 2**32 - 2, 3, 2**32 - 2)
 
