@@ -265,6 +265,11 @@ def wand_topk(spark, sf_dir):
     return retrieve.retrieve(kept_index(spark, sf_dir), benchmark_batch(spark, sf_dir), "WAND", TOP)
 
 
+@query("SELECT qid, docid, score, rank FROM top", SQL_DOCS, SQL_TOK, SQL_POST, SQL_DF, SQL_DL, SQL_ST, SQL_FIXED, SQL_KQ, SQL_SCORE, SQL_RANKED)
+def maxscore_prune(spark, sf_dir):
+    return retrieve.pruned(kept_index(spark, sf_dir), fixed_batch(spark), TOP)
+
+
 @query("SELECT qid, docid, score, rank FROM top", SQL_DOCS, SQL_TOK, SQL_POST, SQL_DF, SQL_DL, SQL_ST, SQL_FIXED, SQL_KQ, SQL_SCORE, SQL_RANKED)
 def wand_topk_duplicates(spark, sf_dir):
     return retrieve.disjunctive(kept_index(spark, sf_dir), fixed_batch(spark), TOP)
@@ -295,6 +300,11 @@ def block_postings(spark, sf_dir):
     return blocks.blocks(kept_index(spark, sf_dir).postings)
 
 
+@query("SELECT term, block_no::BIGINT AS block_no, count(*)::BIGINT AS n, min(docid) AS first_docid, max(docid) AS last_docid, sum(tf)::BIGINT AS total_tf, sum(tf)::BIGINT AS n_values FROM num GROUP BY 1, 2", SQL_DOCS, SQL_TOK, SQL_POST, SQL_DF, SQL_KEPT, SQL_NUM)
+def block_positions(spark, sf_dir):
+    return blocks.blocks(index.build(docs(spark, sf_dir), index.Mode.POSITIONAL).postings)
+
+
 @query("SELECT * FROM (SELECT term, block_no::BIGINT AS block_no, count(*)::BIGINT AS n, min(docid) AS first_docid, max(docid) AS last_docid, sum(tf)::BIGINT AS total_tf FROM num WHERE term = 'the' GROUP BY 1, 2) WHERE last_docid >= 400", SQL_DOCS, SQL_TOK, SQL_POST, SQL_DF, SQL_KEPT, SQL_NUM)
 def block_skip_table(spark, sf_dir):
     return blocks.skip(kept_index(spark, sf_dir).postings, "the", 400)

@@ -70,8 +70,13 @@ def main(argv: list[str], spark: SparkSession | None = None) -> int:
             for row in inspect.listing(known).orderBy("termid").toLocalIterator():
                 print(f"termid: {row.termid}  df: {row.df}")
         else:
-            lines = [r.line for r in inspect.printed(known, args.term).collect()]
-            print(lines[0] if lines else "No postings for term")
+            n = 0
+            for n, row in enumerate(inspect.pairs(known, args.term).toLocalIterator(), 1):  # a part at a time
+                print(row.pair, end=" ")
+            if not n:
+                print(f"No postings for term {args.term}")
+                return 1
+            print()
     else:
         start = time.perf_counter()
         n = collection.read_collection(spark, *args.files).agg(F.sum(F.size(words(F.col("text"))))).first()[0] or 0

@@ -13,8 +13,13 @@ def postings_of(index: Index, *terms: str) -> DataFrame:
     return index.postings.filter(F.col("term").isin(list(terms))).select("term", "docid", "tf")
 
 
+def pairs(index: Index, term: str) -> DataFrame:
+    """docid, pair (``docid:tf``) of a term in the order of docids, to be read row by row."""
+    return postings_of(index, term).orderBy("docid").select("docid", F.format_string("%d:%d", "docid", "tf").alias("pair"))
+
+
 def printed(index: Index, term: str) -> DataFrame:
-    """One line ``docid:tf docid:tf ...`` in the order of docids, or none for an unknown term."""
+    """For short lists, which have to fit in one row (see pairs()): one line ``docid:tf docid:tf ...`` in the order of docids, or none for an unknown term."""
     pairs = F.sort_array(F.collect_list(F.struct("docid", "tf")))
     line = F.array_join(F.transform(pairs, lambda p: F.format_string("%d:%d", p.docid, p.tf)), " ")
     return postings_of(index, term).groupBy("term").agg(line.alias("line")).select("line")

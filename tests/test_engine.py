@@ -102,11 +102,11 @@ def test_command_line(spark, tmp_path, capsys):
     cli.main(["retrieval", "-index", f"{tmp_path}/j", "-query", f"{tmp_path}/q", "-algorithm", "WAND", "-hits", "1", "-output", f"{tmp_path}/r"], spark)
     assert [r.value for r in spark.read.text(f"{tmp_path}/r").collect()] == ["q: 5 no: 6", "q: 7 no: 5"]
     capsys.readouterr()
-    cli.main(["readPostings", "-index", f"{tmp_path}/j", "-term", "beta"], spark)
-    cli.main(["readPostings", "-index", f"{tmp_path}/j", "-term", "none"], spark)
+    assert cli.main(["readPostings", "-index", f"{tmp_path}/j", "-term", "beta"], spark) == 0
+    assert cli.main(["readPostings", "-index", f"{tmp_path}/j", "-term", "none"], spark) == 1
     cli.main(["readPostings", "-index", f"{tmp_path}/j"], spark)
     out = capsys.readouterr().out.splitlines()
-    assert out[:2] == ["1:1 3:1 5:2", "No postings for term"] and out[2] == "termid: 0  df: 3" and len(out) == 10
+    assert out[:2] == ["1:1 3:1 5:2 ", "No postings for term none"] and out[2] == "termid: 0  df: 3" and len(out) == 10
     cli.main(["noop", f"{tmp_path}/c"], spark)
     assert capsys.readouterr().out.startswith("tokens: 17 ")
     with pytest.raises(SystemExit):
@@ -143,6 +143,8 @@ def test_batches_against_plain_python(spark):
     assert {(r.qid, r.docid) for r in retrieve.conjunctive(found, asked).collect()} == want_all
     assert {(r.qid, r.docid) for r in retrieve.candidates(found, asked).collect()} == set(want_any)
     got = retrieve.disjunctive(found, asked, 5).collect()
+    for hits in (1, 5, 50):
+        assert sorted(map(tuple, retrieve.pruned(found, asked, hits).collect())) == sorted(map(tuple, retrieve.disjunctive(found, asked, hits).collect()))
     for q in range(len(queries)):
         best = sorted(((-s, d) for (i, d), s in want_any.items() if i == q))[:5]
         assert [(pytest.approx(r.score, abs=2e-6), r.docid) for r in sorted((r for r in got if r.qid == q), key=lambda r: r["rank"])] == [(-s, d) for s, d in best]
@@ -162,6 +164,19 @@ def test_blocks(spark):
     assert set(got) == {("a", 0), ("a", 1), ("c", 0)} and got["c", 0] == 1
 
 
+def test_blocks_across_chunks_and_modes(spark):
+    """Docids of several chunks; every mode has its own columns."""
+    rng = random.Random(5)
+    ids = sorted(rng.sample(range(1 << 19), 1000))
+    rows = [("a", d, 2, [0, 3]) for d in ids] + [("b", 1 << 18, 1, [4])]
+    postings = spark.createDataFrame(rows, "term string, docid long, tf int, positions array<int>")
+    found = {(r.term, r.block_no): r[2:] for r in blocks.blocks(postings).collect()}
+    want = {("a", i): (len(x), x[0], x[-1], 2 * len(x), 2 * len(x)) for i in range(8) if (x := ids[128 * i : 128 * i + 128])}
+    assert found == want | {("b", 0): (1, 1 << 18, 1 << 18, 1, 1)}
+    assert blocks.blocks(postings.select("term", "docid")).columns == ["term", "block_no", "n", "first_docid", "last_docid"]
+    assert sorted((r.term, r.docid) for r in blocks.from_gaps(blocks.gaps(postings.select("term", "docid"))).collect()) == sorted(r[:2] for r in rows)
+
+
 def test_hashes(spark):
     def word(s):
         h = 1159241
