@@ -2,21 +2,23 @@
 
 A text is the set of its 5-word shingles (one shingle of all its words if it has fewer), ASCII letters in lower case. A shingle's weight is
 (1 + ln tf) * idf with tf its count in the text and idf = 1 + IDF_SHARE * ln(N / df) / ln N: damped, so that what copies share, which the copies
-themselves make frequent, still outweighs what sets them apart. df is counted over all texts in a count-min sketch of fixed size.
+themselves make frequent, still outweighs what sets them apart. df is counted over all texts in a count-min sketch of fixed size, less the usual count
+of its cells, and counts that the other shingles of a cell can make up are taken for 1: so rare shingles weigh the same in a table of any size, and an error
+is one of less than so many documents.
 
 1. BANDS * ROWS consistent samples of each text give BANDS bucket keys, in one pass over the source.
 2. Texts with equal words are one: the one with the least doc_id stands for all (a hash aggregation with partial sums).
 3. In each bucket the text with the least hash for that band is its centre, so buckets of the same texts have different centres. Each text is
-   verified against its centres by the exact weighted Jaccard similarity. Links are the edges of a graph whose components are found by label propagation
-   with pointer jumping over tables in the shared folder.
+   verified against its centres by the exact weighted Jaccard similarity, first in ``FIRST`` of the bands, then in the others where it is not yet linked
+   to the centre. Links are the edges of a graph whose components are found by label propagation with pointer jumping over tables in the shared folder.
 4. A bucket whose texts are not all in one component is gone over again, in blocks: each text outside its centre's component is compared with every text
-   of the bucket in another component. First the pairs with the most equal samples are verified, which links most; then all that are still apart, inside
-   their block, so that only links come out; only pairs whose total weights already rule out the threshold are passed over. So within a bucket no pair of
-   texts of different components stays uncompared, and no group is held whole by one task.
+   of the bucket in another component. First the pairs with the most equal samples are verified, which links most, together with the other bands' centres;
+   then all that are still apart, inside their block, so that only links come out; only pairs whose total weights already rule out the threshold are passed
+   over. So within a bucket no pair of texts of different components stays uncompared, and no group is held whole by one task.
 
 Nothing of all documents comes to the driver but the sketch. Defined results: a null text, or one without words, is in a class of its own; rows with a
 null doc_id are in no class (keep_one keeps them); rows that repeat a doc_id count as one document; an empty table gives no
-rows; other columns are ignored (classes) or passed on (keep_one).
+rows; other columns are ignored (classes) or passed on (keep_one). A very long text is one run of its shingles, held by one task.
 """
 
 from __future__ import annotations
@@ -33,12 +35,12 @@ from siltgrain.llm.common import Scratch, ragged, slices, text_bytes
 from siltgrain.llm.textops import Words, mix, salted, sequences
 
 SHINGLE, THRESHOLD, IDF_SHARE = 5, 0.8, 0.05
-BANDS, ROWS = 16, 4
+BANDS, ROWS, FIRST = 16, 4, 4
 #: Cells of the count-min sketch: DEPTH rows of 2 ** WIDTH, written in CHUNKS parts.
 DEPTH, WIDTH, CHUNKS = 2, 20, 512
 #: The share of equal samples from which a pair is verified first in step 4: four standard deviations below the threshold.
 NEAR = THRESHOLD - 4 * (THRESHOLD * (1 - THRESHOLD) / (BANDS * ROWS)) ** 0.5
-BLOCK, BEST = 2048, 8
+BLOCK, BEST = 512, 2
 _TABLE_BITS = 14
 _rng = np.random.default_rng(0xC0FFEE)
 _SEEDS = (_rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -168,12 +170,21 @@ def _count(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "chunk int, counts binary").groupBy("chunk").applyInArrow(total, "chunk int, counts binary")
 
 
+def without_noise(sketch: np.ndarray) -> np.ndarray:
+    """Counts less what the median cell of their row holds; 0 where that is less than five deviations of the cells."""
+    usual = np.median(sketch, axis=1, keepdims=True)
+    spread = 1.4826 * np.median(np.abs(sketch - usual), axis=1, keepdims=True)
+    out = sketch - usual
+    out[out < 5 * spread] = 0
+    return out
+
+
 class _Sketch:
     """The sketch as tasks get it: one broadcast of fixed size."""
 
     def __init__(self, spark, rows, n_texts: int):
-        most = np.minimum(_read_sketch(rows), (1 << 31) - 1).astype(np.int32)
-        self.value, self.n_texts = spark.sparkContext.broadcast(most), n_texts
+        found = np.clip(without_noise(_read_sketch(rows)), 0, (1 << 31) - 1).astype(np.int32)
+        self.value, self.n_texts = spark.sparkContext.broadcast(found), n_texts
 
     def weights(self, s: Shingled) -> np.ndarray:
         return weights(s, self.value.value, self.n_texts)
@@ -254,6 +265,7 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
             scratch.drop(before)
         before = f"{name}-{step - 1}"
         if not labels.filter("changed").limit(1).count():
+            scratch.drop(f"{name}-edges")
             return labels.select(F.col("a").alias("doc_id"), F.col("label").alias("class"))
         labels = labels.select("a", "label")
 
@@ -262,32 +274,37 @@ def _buckets(sampled: DataFrame) -> DataFrame:
     return sampled.select("doc_id", F.posexplode("bands").alias("band", "bucket"))
 
 
-def _star_pairs(sampled: DataFrame) -> DataFrame:
-    """Distinct pairs (a: a bucket's centre, b) over all buckets."""
-    members = _buckets(sampled)
+def _centres(members: DataFrame, scratch: Scratch) -> DataFrame:
+    """band, bucket and the centre a of all buckets with more than one of members (doc_id, band, bucket). A table of its own, so that the optimizer can split or broadcast what joins it."""
     least = F.struct(F.xxhash64("doc_id", "band").alias("order"), F.col("doc_id").alias("a"))
-    centres = members.groupBy("band", "bucket").agg(F.min(least).alias("centre"), F.count("*").alias("n")).filter("n > 1").select("band", "bucket", F.col("centre.a").alias("a"))
+    centres = members.groupBy("band", "bucket").agg(F.min(least).alias("centre"), F.count("*").alias("n"))
+    return scratch.table(centres.filter("n > 1").select("band", "bucket", F.col("centre.a").alias("a")), "centres")
+
+
+def _star_pairs(members: DataFrame, centres: DataFrame) -> DataFrame:
+    """Distinct pairs (a: a bucket's centre, b) of members (doc_id, band, bucket)."""
     pairs = members.join(centres, ["band", "bucket"]).filter("doc_id <> a")
     return pairs.select(F.least("a", "doc_id").alias("x"), F.greatest("a", "doc_id").alias("y"), "a", F.col("doc_id").alias("b")).groupBy("x", "y").agg(F.min("a").alias("a")).select("a", F.when(F.col("x") == F.col("a"), F.col("y")).otherwise(F.col("x")).alias("b"))
 
 
 def _mixed(sampled: DataFrame, classes: DataFrame, scratch: Scratch, name: str) -> DataFrame | None:
-    """The members of buckets whose texts are not all in one component: band, bucket, doc_id, class and main, the centre's class. None: no such bucket."""
+    """The members of buckets whose texts are not all in one component: band, bucket, doc_id, class, main, the centre's class, and a, the centre. None: no
+    such bucket."""
     members = _buckets(sampled.select("doc_id", "bands")).join(classes.select("doc_id", "class"), "doc_id", "left").withColumn("class", F.coalesce("class", "doc_id"))
-    least = F.struct(F.xxhash64("doc_id", "band").alias("order"), F.col("class").alias("class"))
+    least = F.struct(F.xxhash64("doc_id", "band").alias("order"), F.col("class").alias("class"), F.col("doc_id").alias("a"))
     mixed = members.groupBy("band", "bucket").agg(F.min(least).alias("centre"), F.min("class").alias("low"), F.max("class").alias("high"))
-    mixed = mixed.filter("low <> high").select("band", "bucket", F.col("centre.class").alias("main"))
+    mixed = scratch.table(mixed.filter("low <> high").select("band", "bucket", F.col("centre.class").alias("main"), F.col("centre.a").alias("a")), f"buckets-{name}")
     inside = scratch.table(members.join(mixed, ["band", "bucket"]), f"mixed-{name}")
     return inside if inside.limit(1).count() else None
 
 
-def _in_blocks(inside: DataFrame, size: F.Column, most: int) -> DataFrame:
+def _in_blocks(inside: DataFrame, size: F.Column, most: int, scratch: Scratch, name: str) -> DataFrame:
     """inside as blocks of about ``most`` by size: each member once (asks 0) for each block of askers, each text outside its centre's class (asks 1) for
-    each block of members. Group by band, bucket, block and asker."""
+    each block of members. Dealt out by band, bucket, block and asker, to group by: a shuffle of its own, lest all blocks of a bucket stay in one task."""
     sizes = inside.groupBy("band", "bucket").agg(
         F.ceil(F.sum(size) / most).cast("int").alias("blocks"), F.ceil(F.sum(F.when(F.col("class") != F.col("main"), size)) / most).cast("int").alias("askers")
     )
-    inside = inside.join(sizes, ["band", "bucket"])
+    inside = inside.join(scratch.table(sizes, f"sizes-{name}"), ["band", "bucket"])
 
     def own(n: str) -> F.Column:
         return F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
@@ -297,12 +314,12 @@ def _in_blocks(inside: DataFrame, size: F.Column, most: int) -> DataFrame:
 
     held = inside.withColumn("block", own("blocks")).withColumn("asker", every("askers")).withColumn("asks", F.lit(0))
     asking = inside.filter("class <> main").withColumn("block", every("blocks")).withColumn("asker", own("askers")).withColumn("asks", F.lit(1))
-    return held.unionByName(asking).drop("blocks", "askers", "main")
+    return held.unionByName(asking).drop("blocks", "askers", "main", "a").repartition("band", "bucket", "block", "asker")
 
 
-def _best_pairs(inside: DataFrame, sampled: DataFrame, best: int) -> DataFrame:
+def _best_pairs(inside: DataFrame, sampled: DataFrame, best: int, scratch: Scratch) -> DataFrame:
     """Pairs of texts that share a bucket but no component, one of them outside its centre's: of each such text and block those with the most equal samples."""
-    blocks = _in_blocks(inside.join(sampled.select("doc_id", "low"), "doc_id"), F.lit(1), BLOCK)
+    blocks = _in_blocks(inside.join(sampled.select("doc_id", "low"), "doc_id"), F.lit(1), BLOCK, scratch, "best")
 
     def compare(keys: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches))
@@ -321,13 +338,13 @@ def _best_pairs(inside: DataFrame, sampled: DataFrame, best: int) -> DataFrame:
     return blocks.groupBy("band", "bucket", "block", "asker").applyInArrow(compare, "a bigint, b bigint").distinct()
 
 
-def _rest_links(inside: DataFrame, sampled: DataFrame, texts: DataFrame, sketch: _Sketch) -> DataFrame:
+def _rest_links(inside: DataFrame, sampled: DataFrame, texts: DataFrame, sketch: _Sketch, scratch: Scratch) -> DataFrame:
     """All links between texts that share a bucket but no component, one of them outside its centre's: verified where they lie, so that only links come out.
 
     A pair is looked at in the first band in which its texts meet. Its similarity is at most the smaller total weight over the larger.
     """
     with_text = inside.join(sampled.select("doc_id", "bands"), "doc_id").join(texts.hint("merge"), "doc_id")
-    blocks = _in_blocks(with_text, F.length("text") + 64, 2 << 20)
+    blocks = _in_blocks(with_text, F.length("text") + 64, 2 << 20, scratch, "rest")
 
     def compare(keys: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches)).combine_chunks()
@@ -384,21 +401,24 @@ def classes(docs: DataFrame) -> DataFrame:
         scratch.drop(f"pairs-{name}", f"texts-{name}")
         return links
 
-    links = verified(_star_pairs(firsts), "star")
+    members = _buckets(firsts).filter(F.col("band") < FIRST)
+    links = verified(_star_pairs(members, _centres(members, scratch)), "star")
     found = components(links, scratch, "star")
     inside = _mixed(firsts, found, scratch, "best")
     if inside is not None:
-        new = verified(_best_pairs(inside, firsts, BEST), "best")
+        stars = inside.filter((F.col("band") >= FIRST) & (F.col("class") != F.col("main"))).select("a", F.col("doc_id").alias("b"))
+        pairs = stars.unionByName(_best_pairs(inside, firsts, BEST, scratch))
+        ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        new = verified(ordered, "best")
         if new.limit(1).count():
             links = links.unionByName(new)
             found = components(links, scratch, "best")
             inside = _mixed(firsts, found, scratch, "rest")
     if inside is not None:
-        new = scratch.table(_rest_links(inside, firsts, texts_of(inside.select("doc_id").distinct(), "rest"), sketch), "links-rest")
-        scratch.drop("texts-rest")
+        new = scratch.table(_rest_links(inside, firsts, texts_of(inside.select("doc_id").distinct(), "rest"), sketch, scratch), "links-rest")
         if new.limit(1).count():
             found = components(links.unionByName(new), scratch, "rest")
-    scratch.drop("firsts")
+    scratch.drop("firsts", "centres", "texts-rest", *(f"{x}-{y}" for x in ("mixed", "sizes", "buckets", "links") for y in ("star", "best", "rest")))
     by_copy = copies.join(found.select(F.col("doc_id").alias("copy_of"), "class"), "copy_of", "left").select("key1", "key2", "n_words", "own", "copy_of", F.coalesce("class", "copy_of").alias("class_id"))
     return documents.join(by_copy, (documents.key1 == by_copy.key1) & (documents.key2 == by_copy.key2) & (documents.n_words == by_copy.n_words) & documents.own.eqNullSafe(by_copy.own)).select("doc_id", "class_id", "copy_of")
 

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltgrain.llm import ann, near_dedup
+from siltgrain.llm.common import Scratch
 
 
 def weighted_groups(texts):
@@ -98,6 +99,17 @@ def test_samples_estimate_weighted_similarity():
     assert abs((found[0] == found[1]).mean() - near_dedup.similarity(a, b)) < 0.2
 
 
+def test_frequent_shingles_stand_out_of_a_full_sketch():
+    """Ten times as many rare shingles as cells: these count as one, a frequent one within the cells' deviations."""
+    rng = np.random.default_rng(6)
+    sketch = rng.poisson(10, (near_dedup.DEPTH, 1 << 16)).astype(np.int64)
+    sketch[:, 5] += 5000
+    clean = near_dedup.without_noise(sketch)
+    low = clean.min(0)
+    assert abs(low[5] - 5000) < 30 and (np.delete(low, 5) == 0).mean() > 0.9999
+    assert (near_dedup.without_noise(np.array([[0, 0, 0, 2, 1]])) == [[0, 0, 0, 2, 1]]).all()
+
+
 def brute(ids, vectors, queries, k=5):
     unit = vectors / np.sqrt((vectors * vectors).sum(1))[:, None]
     out = {}
@@ -166,7 +178,7 @@ def test_pairs_left_apart_are_verified_whatever_their_samples(spark):
     rows = [(1, f"{long} end"), (2, f"{long} other"), (3, " ".join(f"v{i}" for i in range(200)))]
     texts = spark.createDataFrame(rows, "doc_id long, text string")
     sketch = near_dedup._Sketch(spark, near_dedup._count(texts).collect(), 3)
-    inside = spark.createDataFrame([(0, 7, i, i, 3) for i in (1, 2, 3)], "band int, bucket long, doc_id long, class long, main long")
+    inside = spark.createDataFrame([(0, 7, i, i, 3, 3) for i in (1, 2, 3)], "band int, bucket long, doc_id long, class long, main long, a long")
     low = [(i, [7] + [i] * (near_dedup.BANDS - 1), bytes([i, 0] * near_dedup.BANDS * near_dedup.ROWS)) for i in (1, 2, 3)]
     sampled = spark.createDataFrame(low, "doc_id long, bands array<long>, low binary")
-    assert [tuple(r) for r in near_dedup._rest_links(inside, sampled, texts, sketch).collect()] == [(1, 2)]
+    assert [tuple(r) for r in near_dedup._rest_links(inside, sampled, texts, sketch, Scratch(spark)).collect()] == [(1, 2)]
