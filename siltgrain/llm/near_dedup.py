@@ -270,6 +270,19 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         labels = labels.select("a", "label")
 
 
+def joined(found: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """components() with more links: found is (doc_id, class) without them. Only links between components go through label propagation, as links of classes."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(found, "doc_id", "left").select("doc_id", F.coalesce("class", "doc_id").alias("class"))
+    ends = scratch.table(ends, f"{name}-ends")
+    one, two = (ends.select(F.col("doc_id").alias(x), F.col("class").alias(f"class_{x}")) for x in "ab")
+    between = links.join(one, "a").join(two, "b").filter("class_a <> class_b").select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b")).distinct()
+    top = components(scratch.table(between, f"{name}-between"), scratch, name).select(F.col("doc_id").alias("class"), F.col("class").alias("to"))
+    every = found.unionByName(ends.join(found.select("doc_id"), "doc_id", "left_anti"))
+    every = scratch.table(every.join(top, "class", "left").select("doc_id", F.coalesce("to", "class").alias("class")), f"{name}-classes")
+    scratch.drop(f"{name}-ends", f"{name}-between")
+    return every
+
+
 def _buckets(sampled: DataFrame) -> DataFrame:
     return sampled.select("doc_id", F.posexplode("bands").alias("band", "bucket"))
 
@@ -402,8 +415,7 @@ def classes(docs: DataFrame) -> DataFrame:
         return links
 
     members = _buckets(firsts).filter(F.col("band") < FIRST)
-    links = verified(_star_pairs(members, _centres(members, scratch)), "star")
-    found = components(links, scratch, "star")
+    found = components(verified(_star_pairs(members, _centres(members, scratch)), "star"), scratch, "star")
     inside = _mixed(firsts, found, scratch, "best")
     if inside is not None:
         stars = inside.filter((F.col("band") >= FIRST) & (F.col("class") != F.col("main"))).select("a", F.col("doc_id").alias("b"))
@@ -411,13 +423,12 @@ def classes(docs: DataFrame) -> DataFrame:
         ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         new = verified(ordered, "best")
         if new.limit(1).count():
-            links = links.unionByName(new)
-            found = components(links, scratch, "best")
+            found = joined(found, new, scratch, "best")
             inside = _mixed(firsts, found, scratch, "rest")
     if inside is not None:
         new = scratch.table(_rest_links(inside, firsts, texts_of(inside.select("doc_id").distinct(), "rest"), sketch, scratch), "links-rest")
         if new.limit(1).count():
-            found = components(links.unionByName(new), scratch, "rest")
+            found = joined(found, new, scratch, "rest")
     scratch.drop("firsts", "centres", "texts-rest", *(f"{x}-{y}" for x in ("mixed", "sizes", "buckets", "links") for y in ("star", "best", "rest")))
     by_copy = copies.join(found.select(F.col("doc_id").alias("copy_of"), "class"), "copy_of", "left").select("key1", "key2", "n_words", "own", "copy_of", F.coalesce("class", "copy_of").alias("class_id"))
     return documents.join(by_copy, (documents.key1 == by_copy.key1) & (documents.key2 == by_copy.key2) & (documents.n_words == by_copy.n_words) & documents.own.eqNullSafe(by_copy.own)).select("doc_id", "class_id", "copy_of")

@@ -99,6 +99,16 @@ def test_samples_estimate_weighted_similarity():
     assert abs((found[0] == found[1]).mean() - near_dedup.similarity(a, b)) < 0.2
 
 
+def test_more_links_join_components(spark):
+    rng = random.Random(2)
+    links = [tuple(sorted(rng.sample(range(60), 2))) for _ in range(45)]
+    first, more = (spark.createDataFrame(x, "a long, b long") for x in (links[:25], links[25:]))
+    scratch = Scratch(spark)
+    once = near_dedup.components(first.unionByName(more), scratch, "all")
+    twice = near_dedup.joined(near_dedup.components(first, scratch, "some"), more, scratch, "more")
+    assert sorted(map(tuple, twice.collect())) == sorted(map(tuple, once.collect()))
+
+
 def test_frequent_shingles_stand_out_of_a_full_sketch():
     """Ten times as many rare shingles as cells: these count as one, a frequent one within the cells' deviations."""
     rng = np.random.default_rng(6)
