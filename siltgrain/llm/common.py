@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,11 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset (tests), a temporary one for this session."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset, a temporary one for this session if it runs on one machine, and an error if not."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if known:
         return known.rstrip("/")
     if not spark.sparkContext.getCheckpointDir():
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="siltgrain-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
