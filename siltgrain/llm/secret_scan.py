@@ -2,8 +2,8 @@
 
 Base kinds are patterns: ``assign`` (a keyword, = or :, a value of 6 or more), ``access`` (AKIA and 16 or more) and ``hex`` (24 or more hexadecimal
 digits). The method adds the kind ``entropy``: over each candidate string, a run of 20 or more characters of the base-64 alphabets with a letter and a
-digit, a window slides; counts of its characters and the sum of n log n over them are kept up as one character enters and one leaves, which gives the
-window's Shannon entropy. A candidate is reported if its greatest entropy reaches the threshold of its character class (hexadecimal or wider) and no
+digit, a window slides; the sum of n log n over the counts of its characters is kept up as one character enters and one leaves, which gives the window's
+Shannon entropy. A candidate is reported if its greatest entropy reaches the threshold of its character class (hexadecimal or wider) and no
 allow-list pattern matches it or the text just before it. Spans are in code points, end exclusive.
 
 A text without a match of a pattern costs one search for it; only texts with one are cut up. There is no shuffle, so a lost task is simply run again.
@@ -14,6 +14,8 @@ empty table gives no rows; other columns are ignored (scan) or passed on (redact
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,9 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 #: Finds texts that may hold a candidate: only runs with a digit, each tried once.
 MAY_HOLD = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{20,}+"
 LEAST_VALUE, WINDOW = 6, 20
+#: n log n of one more than n, less that of n; places that are appended to one array before a next one is begun.
+STEPS = [(n + 1) * math.log2(n + 1) - (n * math.log2(n) if n else 0.0) for n in range(WINDOW)]
+RUN = 256
 #: Bits a character of a window, for hexadecimal candidates and for others.
 HEX_BITS, WIDE_BITS = 2.9, 3.7
 #: Values that are no secrets, and what stands before digests that are none.
@@ -36,40 +41,46 @@ MARK = "[SECRET]"
 
 
 def _places(text: Column, pattern: str) -> Column:
-    """Array of (start, end, value, before) of the pattern's matches, leftmost and non-overlapping; before: the text since the last match, its end."""
-    pieces, values = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    """Array of (start, end, value, before) of the pattern's matches, leftmost and non-overlapping; before: the text since the last match, its end. Places
+    are appended to runs of RUN, and the runs joined, so the copying grows with the number of matches, not with its square."""
+    kind = "array<struct<start:int,end:int,value:string,before:string>>"
 
-    def step(state: Column, i: Column) -> Column:
-        piece, value = F.get(state.pieces, i), F.get(state["values"], i)
-        start = state.at + F.length(piece)
-        place = F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"), F.right(piece, F.lit(24)).alias("before"))
-        return F.struct(state.pieces.alias("pieces"), state["values"].alias("values"), (start + F.length(value)).alias("at"), F.array_append(state.found, place).alias("found"))
+    def found(pieces: Column, values: Column) -> Column:
+        def step(state: Column, i: Column) -> Column:
+            piece, value = F.get(pieces, i), F.get(values, i)
+            start = state.at + F.length(piece)
+            place = F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"), F.right(piece, F.lit(24)).alias("before"))
+            return F.struct((start + F.length(value)).alias("at"), F.array_append(state.found, place).alias("found"))
 
-    none = F.array().cast("array<struct<start:int,end:int,value:string,before:string>>")
-    first = F.struct(pieces.alias("pieces"), values.alias("values"), F.lit(0).alias("at"), none.alias("found"))
-    return F.when(text.rlike(pattern), F.aggregate(F.sequence(F.lit(0), F.size(values) - 1), first, step).found).otherwise(none)
+        def run(runs: Column, first: Column) -> Column:
+            start = F.struct(F.coalesce(F.get(runs, F.size(runs) - 1).at, F.lit(0)).alias("at"), F.array().cast(kind).alias("found"))
+            return F.array_append(runs, F.aggregate(F.sequence(first, F.least(first + RUN, F.size(values)) - 1), start, step))
 
+        runs = F.aggregate(F.sequence(F.lit(0), F.size(values) - 1, F.lit(RUN)), F.array().cast(f"array<struct<at:int,found:{kind}>>"), run)
+        return F.flatten(F.transform(runs, lambda r: r.found))
+
+    # Wrapped in an array, so that the text is cut up once, not once for each place.
+    cut = F.struct(F.split(text, pattern, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("values"))
+    once = F.get(F.transform(F.array(cut), lambda c: found(c["pieces"], c["values"])), F.lit(0))
+    return F.when(text.rlike(pattern), once).otherwise(F.array().cast(kind))
 
-def _greatest_entropy(value: Column) -> Column:
-    """The greatest Shannon entropy of the windows of an ASCII string, from counts that change by one character in and one out."""
-    codes = F.transform(F.split(value, ""), lambda c: F.ascii(c))
 
-    def weight(n: Column) -> Column:
-        return F.when(n > 0, n * F.log2(n)).otherwise(F.lit(0.0))
+def _greatest_entropy(value: Column) -> Column:
+    """The greatest Shannon entropy of the windows of an ASCII string. The sum of n log n over a window's characters is kept up as one character enters and
+    one leaves: STEPS has what it gains where a character is already there n times, and the count of that one character is all a step needs."""
+    steps = F.array(*map(F.lit, STEPS))
 
-    def change(state: Column, code: Column, by: int) -> Column:
-        n = F.get(state.counts, code)
-        counts = F.transform(state.counts, lambda c, j: F.when(j == code, c + by).otherwise(c))
-        return F.struct(state.codes.alias("codes"), counts.alias("counts"), (state.total - weight(n) + weight(n + by)).alias("total"), state.best.alias("best"))
+    def gain(char: Column, others: Column) -> Column:
+        return F.get(steps, F.length(others) - F.length(F.replace(others, char, F.lit(""))))
 
     def step(state: Column, i: Column) -> Column:
-        entered = change(state, F.get(state.codes, i), 1)
-        left = F.when(i >= WINDOW, change(entered, F.get(state.codes, i - WINDOW), -1)).otherwise(entered)
-        entropy = F.when(i >= WINDOW - 1, F.log2(F.lit(float(WINDOW))) - left.total / WINDOW).otherwise(F.lit(0.0))
-        return F.struct(left.codes.alias("codes"), left.counts.alias("counts"), left.total.alias("total"), F.greatest(left.best, entropy).alias("best"))
+        entered = state.total + gain(F.substring(value, i + 1, F.lit(1)), F.substring(value, F.greatest(i - WINDOW + 2, F.lit(1)), F.least(i, F.lit(WINDOW - 1))))
+        left = gain(F.substring(value, i - WINDOW + 2, F.lit(1)), F.substring(value, i - WINDOW + 3, F.lit(WINDOW - 1)))
+        full = i >= WINDOW - 1
+        return F.struct(F.when(full, entered - left).otherwise(entered).alias("total"), F.when(full, F.least(state.least, entered)).otherwise(state.least).alias("least"))
 
-    first = F.struct(codes.alias("codes"), F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("total"), F.lit(0.0).alias("best"))
-    return F.aggregate(F.sequence(F.lit(0), F.length(value) - 1), first, step).best
+    first = F.struct(F.lit(0.0).alias("total"), F.lit(WINDOW * math.log2(WINDOW)).alias("least"))
+    return math.log2(WINDOW) - F.aggregate(F.sequence(F.lit(0), F.length(value) - 1), first, step).least / WINDOW
 
 
 def _secretive(place: Column) -> Column:

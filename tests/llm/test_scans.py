@@ -53,6 +53,15 @@ def test_secrets(spark):
     assert secret_scan.scan(docs.limit(0)).count() == 0
 
 
+def test_text_full_of_secrets(spark):
+    """More hits than fit in one run of places, in a text of 20,000 characters, against counting each window afresh."""
+    text = " ".join(hashlib.md5(str(i).encode()).hexdigest() for i in range(2 * secret_scan.RUN + 1)) + " token=" + KEY * 100
+    r = secret_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    want = expected(text)
+    assert r.n_hex == 2 * secret_scan.RUN + 1 and r.spans == joined(want)
+    assert r.base_sha256 == hashlib.sha256(joined([s for s in want if s[1] < 3]).encode()).hexdigest()
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(i, t, len(t or ""), "x") for i, t in enumerate(TEXTS)], "doc_id long, text string, n_chars long, `a.b` string")
     out = secret_scan.redact(docs)
