@@ -10,7 +10,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltgrain.functions import hashing, scoring
@@ -327,6 +327,41 @@ def index_roundtrip(spark, sf_dir):
     return index.load(spark, path).postings.select("term", "docid", "tf")
 
 
+def _written_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blocks of the positional index, written and read again."""
+    path = f"{shared_dir(spark)}/siltgrain-blocks-{uuid.uuid4().hex}"
+    blocks.write(blocks.stored(kept_index(spark, sf_dir, index.Mode.POSITIONAL).postings), path)
+    return spark.read.parquet(path)
+
+
+def _listed(values) -> Column:
+    return F.array_join(F.transform(values, lambda x: x.cast("string")), ",")
+
+
+SQL_PGAP = """pgap AS (SELECT t.term, t.docid, t.pos, t.pos - coalesce(lag(t.pos) OVER (PARTITION BY t.term, t.docid ORDER BY t.pos), 0) AS gap, n.block_no
+  FROM tok t JOIN num n USING (term, docid)), pblock AS (SELECT term, block_no, count(*)::BIGINT AS n_values, string_agg(gap, ',' ORDER BY docid, pos) AS position_gaps FROM pgap GROUP BY 1, 2)"""
+
+
+@query("""SELECT term, block_no::BIGINT AS block_no, count(*)::BIGINT AS n, min(docid) AS first_docid, max(docid) AS last_docid, string_agg(gap, ',' ORDER BY docid) AS gaps,
+  string_agg(tf, ',' ORDER BY docid) AS tfs, n_values, position_gaps FROM gap JOIN pblock USING (term, block_no) GROUP BY 1, 2, n_values, position_gaps""",
+    SQL_DOCS, SQL_TOK, SQL_POST, SQL_DF, SQL_KEPT, SQL_NUM, SQL_GAP, SQL_PGAP)
+def stored_blocks(spark, sf_dir):
+    found = _written_blocks(spark, sf_dir)
+    return found.select("term", "block_no", "n", "first_docid", "last_docid", _listed("gaps").alias("gaps"), _listed("tfs").alias("tfs"), "n_values", _listed("position_gaps").alias("position_gaps"))
+
+
+@query("SELECT t.term, t.docid, count(*)::BIGINT AS tf, string_agg(t.pos, ',' ORDER BY t.pos) AS positions FROM tok t JOIN dfs USING (term) GROUP BY 1, 2", SQL_DOCS, SQL_TOK, SQL_POST, SQL_DF)
+def stored_blocks_roundtrip(spark, sf_dir):
+    found = blocks.decoded(_written_blocks(spark, sf_dir))
+    return found.select("term", "docid", "tf", _listed("positions").alias("positions"))
+
+
+@query("SELECT p.docid, p.tf FROM post p JOIN dfs USING (term) WHERE term = 'the' AND docid >= 400", SQL_DOCS, SQL_TOK, SQL_POST, SQL_DF)
+def block_seek(spark, sf_dir):
+    """A term's postings from a docid on, from stored blocks: those that end before it are not decoded."""
+    return blocks.decoded(blocks.seek(_written_blocks(spark, sf_dir), "the", 400)).filter(F.col("docid") >= 400).select("docid", "tf")
+
+
 @query(f"""SELECT term, block_no::BIGINT AS block_no, arg_min(w, cost * 100 + w)::BIGINT AS width FROM (SELECT term, block_no, w, w * 128 + 32 * count(*) FILTER (gap >= (1::BIGINT << w)) AS cost FROM gap
   CROSS JOIN (SELECT unnest([{", ".join(map(str, blocks.WIDTHS))}]) AS w) GROUP BY 1, 2, 3 HAVING count(*) = 128) GROUP BY 1, 2""", SQL_DOCS, SQL_TOK, SQL_POST, SQL_DF, SQL_KEPT, SQL_NUM, SQL_GAP)
 def codec_bit_width(spark, sf_dir):

@@ -177,6 +177,28 @@ def test_blocks_across_chunks_and_modes(spark):
     assert sorted((r.term, r.docid) for r in blocks.from_gaps(blocks.gaps(postings.select("term", "docid"))).collect()) == sorted(r[:2] for r in rows)
 
 
+def test_stored_blocks(spark, tmp_path):
+    """Written, read and decoded in every mode; a term with many positions, an odd order of rows, an empty table, and a scan that skips."""
+    rng = random.Random(7)
+    rows = [("a", d, 300 if d == 5 else 1 + d % 3) for d in rng.sample(range(1000), 400)] + [("b", 1 << 40, 1)]
+    rows = [(t, d, n, sorted(rng.sample(range(5000), n))) for t, d, n in rows]
+    whole = spark.createDataFrame(rows, "term string, docid long, tf long, positions array<int>")
+    for held in (["term", "docid"], ["term", "docid", "tf"], ["term", "docid", "tf", "positions"]):
+        path = str(tmp_path / str(len(held)))
+        blocks.write(blocks.stored(whole.select(*held)), path)
+        written = spark.read.parquet(path)
+        assert blocks.decoded(written).columns == held
+        assert sorted(tuple(r) for r in blocks.decoded(written).collect()) == sorted(r[: len(held)] for r in rows)
+        assert written.agg({"n": "max"}).first()[0] == 128
+        assert blocks.decoded(blocks.stored(whole.select(*held).limit(0))).count() == 0
+    found = blocks.seek(written, "a", 900)
+    plan = found._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(last_docid,900)" in plan and "EqualTo(term,a)" in plan
+    assert {r.docid for r in blocks.decoded(found).collect()} >= {d for t, d, *_ in rows if t == "a" and d >= 900}
+    assert found.count() < written.filter("term = 'a'").count()
+
+
+
 def test_hashes(spark):
     def word(s):
         h = 1159241
