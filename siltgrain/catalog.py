@@ -1,7 +1,7 @@
 """The registered queries of the retrieval engine and their DuckDB SQL, over whole tables.
 
 Texts of the test tables are free, so they are normalised first (see functions.text.normalized). The query batches are a fixed one and one made of the
-first four words of each benchmark passage; the queries named ..._whole take the whole passages. Indexes are kept for the session.
+first four words of each benchmark passage; the queries named ..._whole take the whole passages. Indexes are kept for the session, postings of small collections only.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ ORACLE_SQL: dict[str, str] = {}
 _KEPT: dict[tuple, index.Index] = {}
 BATCH = ((1, "thern anter ention"), (2, "whou inonble"), (3, "the with"), (4, "zzzz whou"), (5, "whou whou inonble"), (6, "zzzz"), (7, "de la"))
 TOP = 10
+#: Postings stay in the session for collections whose files are at most this large. Larger ones would fill memory and disk to be read once or twice.
+KEPT_BYTES = 64 << 20
 
 SQL_DOCS = r"docs AS (SELECT doc_id AS docid, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS words FROM documents)"
 SQL_TOK = "tok AS (SELECT docid, unnest(words) AS term, unnest(range(len(words))) AS pos FROM docs)"
@@ -74,7 +76,9 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kept_index(spark: SparkSession, sf_dir: str, mode: index.Mode = index.Mode.TF, df_cutoff: int = index.DF_CUTOFF) -> index.Index:
     key = (spark.sparkContext.applicationId, sf_dir, mode, df_cutoff)
     if key not in _KEPT:
-        _KEPT[key] = index.build(docs(spark, sf_dir), mode, df_cutoff).cache()
+        table = docs(spark, sf_dir)
+        size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        _KEPT[key] = index.build(table, mode, df_cutoff).cache(postings=size <= KEPT_BYTES)
     return _KEPT[key]
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from enum import Enum
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltgrain.functions import scoring
@@ -13,6 +13,10 @@ from siltgrain.functions.text import words
 
 #: The least document frequency of terms that get postings.
 DF_CUTOFF = 9
+#: Ranges of terms that a dictionary is numbered by, about.
+RANGES = 64
+#: The most rows of terms, queries or candidates that are broadcast.
+SMALL = 500_000
 
 
 class Mode(str, Enum):
@@ -42,8 +46,9 @@ class Index:
     docs: DataFrame
     stats: DataFrame
 
-    def cache(self) -> Index:
-        for df in (self.postings, self.terms, self.docs, self.stats):
+    def cache(self, postings: bool = True) -> Index:
+        """Keeps the tables for the session; without postings, which are made anew from the documents by each query, only the small ones."""
+        for df in (*[self.postings] * postings, self.terms, self.docs, self.stats):
             df.persist()
         return self
 
@@ -64,6 +69,11 @@ def load(spark: SparkSession, path: str) -> Index:
     return Index(Mode(kept["mode"]), kept["df_cutoff"], *tables, stats.drop("mode", "df_cutoff"))
 
 
+def small(rows: DataFrame) -> DataFrame:
+    """rows, to be broadcast if there are at most SMALL; they are counted when this is called."""
+    return F.broadcast(rows) if rows.limit(SMALL + 1).count() <= SMALL else rows
+
+
 def doc_lengths(docs: DataFrame) -> DataFrame:
     """docid, doc_len: the number of tokens; a document without tokens has 0."""
     return docs.select("docid", F.size(words(F.col("text"))).cast("bigint").alias("doc_len"))
@@ -75,8 +85,35 @@ def collection_stats(lengths: DataFrame) -> DataFrame:
     return lengths.agg(F.count("*").alias("n_docs"), total.alias("total_len")).withColumn("avg_len", F.try_divide(F.col("total_len").cast("double"), F.col("n_docs")))
 
 
+def _counted(docs: DataFrame, mode: Mode) -> DataFrame:
+    """The postings of docs without two rows of one docid: each row's words are sorted and their runs counted in the row itself, so no token moves."""
+    cut = docs.select("docid", words(F.col("text")).alias("words"))
+    sized = F.size("words").cast("bigint").alias("doc_len")
+    if not mode.has_tf:
+        return cut.select("docid", sized, F.explode(F.array_distinct("words")).alias("term")).select("term", "docid", "doc_len")
+    placed = F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))) if mode.has_positions else F.col("words")
+    ordered = cut.select("docid", sized, F.sort_array(placed).alias("words"))
+
+    def word(i: Column) -> Column:
+        return F.get("words", i)["w"] if mode.has_positions else F.get("words", i)
+
+    places = F.sequence(F.lit(0), F.col("doc_len").cast("int") - 1)
+    starts = F.when(F.col("doc_len") > 0, F.filter(places, lambda i: (i == 0) | (word(i) != word(i - 1)))).alias("starts")
+
+    def run(start: Column, n: Column) -> Column:
+        tf = F.coalesce(F.get("starts", n + 1), F.col("doc_len").cast("int")) - start
+        more = [F.transform(F.slice("words", start + 1, tf), lambda x: x["i"]).alias("positions")] if mode.has_positions else []
+        return F.struct(word(start).alias("term"), tf.cast("bigint").alias("tf"), *more)
+
+    found = ordered.select("*", starts).select("docid", "doc_len", F.inline(F.transform("starts", run)))
+    return found.select("term", "docid", "doc_len", "tf", *["positions"] * mode.has_positions)
+
+
 def all_postings(docs: DataFrame, mode: Mode = Mode.TF) -> DataFrame:
-    """The postings of every term. Each carries its document's length, so that scoring needs no further join; tokens are counted before they move."""
+    """The postings of every term. Each carries its document's length, so that scoring needs no further join. A docid's rows, if there are several, are counted
+    together; such docids are looked for when this is called, and without any no token moves."""
+    if docs.groupBy("docid").count().filter("count > 1").isEmpty():
+        return _counted(docs, mode)
     cut = docs.select("docid", words(F.col("text")).alias("words"))
     exploded = cut.select("docid", F.size("words").cast("bigint").alias("doc_len"), F.posexplode("words").alias("pos", "term"))
     found = [F.first("doc_len").alias("doc_len")]
@@ -92,16 +129,21 @@ def term_stats(postings: DataFrame, mode: Mode = Mode.TF) -> DataFrame:
     found = [F.count("*").alias("df")]
     if not mode.has_tf:
         return postings.groupBy("term").agg(*found)
-    most = F.max(F.struct(F.col("tf"), (-F.col("doc_len")).alias("less")))
-    return postings.groupBy("term").agg(*found, most.alias("most")).select("term", "df", F.col("most.tf").alias("max_tf"), (-F.col("most.less")).alias("max_tf_len"))
+    # Both are array sizes, so below 2 ** 31: one number for the pair keeps to the hash aggregate, where a struct would be sorted.
+    most = F.max(F.shiftleft(F.col("tf").cast("bigint"), 32) + (F.lit((1 << 32) - 1) - F.col("doc_len")))
+    less = (F.lit((1 << 32) - 1) - F.col("most").bitwiseAND(F.lit((1 << 32) - 1))).alias("max_tf_len")
+    return postings.groupBy("term").agg(*found, most.alias("most")).select("term", "df", F.shiftright("most", 32).alias("max_tf"), less)
 
 
 def build(docs: DataFrame, mode: Mode | str = Mode.TF, df_cutoff: int = DF_CUTOFF) -> Index:
-    """The index of docs (docid, text), texts normalised; docids unique and 0 or more. Terms of a lower document frequency than df_cutoff are left out."""
+    """The index of docs (docid, text), texts normalised; docids unique and 0 or more. Terms of a lower document frequency than df_cutoff are left out:
+    the terms are counted when this is called, and postings move only if more terms stay than small() broadcasts."""
     mode = Mode(mode)
     postings = all_postings(docs, mode)
     terms = term_stats(postings, mode).filter(F.col("df") >= df_cutoff)
-    kept = postings if df_cutoff <= 1 else postings.join(terms.select("term"), "term", "left_semi")
+    if df_cutoff > 1:
+        terms = terms.persist()  # counted here to choose the join, then read by it
+    kept = postings if df_cutoff <= 1 else postings.join(small(terms.select("term")), "term", "left_semi")
     lengths = doc_lengths(docs)
     return Index(mode, df_cutoff, kept, terms, lengths, collection_stats(lengths))
 
@@ -114,10 +156,21 @@ def upper_bounds(index: Index) -> DataFrame:
 
 def dictionary(index: Index) -> DataFrame:
     """term, termid: ids from 0 in the order of terms, by counts of ranges, so that no task sorts all terms."""
+    return numbered_terms(index).select("term", "termid")
+
+
+def numbered_terms(index: Index) -> DataFrame:
+    """The terms table with termid. The ranges lie between given terms, some RANGES of them picked by hash, so they are the same whenever a part of the plan
+    runs: ids of Spark's own range partitions are not, where a plan counts them apart from numbering within them."""
     from pyspark.sql import Window
 
-    ranged = index.terms.select("term").repartitionByRange("term").withColumn("part", F.spark_partition_id())
+    every = max(1, index.terms.count() // RANGES)
+    picked = index.terms.filter(F.pmod(F.xxhash64("term"), F.lit(every)) == 0) if every > 1 else index.terms
+    ends = sorted(r.term for r in picked.select("term").limit(4 * RANGES).collect())
+    ends = F.array(*map(F.lit, ends)) if ends else F.array().cast("array<string>")
+    ranged = index.terms.withColumn("part", F.size(F.filter(ends, lambda e: e <= F.col("term"))))
     local = ranged.withColumn("at", F.row_number().over(Window.partitionBy("part").orderBy("term")) - 1)
     counts = ranged.groupBy("part").agg(F.count("*").alias("n"))
     before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return local.join(F.broadcast(before.select("part", "before")), "part").select("term", (F.col("at") + F.col("before")).cast("bigint").alias("termid"))
+    numbered = local.join(F.broadcast(before.select("part", "before")), "part")
+    return numbered.select(*index.terms.columns, (F.col("at") + F.col("before")).cast("bigint").alias("termid"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltgrain.operators.index import Index, dictionary
+from siltgrain.operators.index import Index, numbered_terms
 
 
 def postings_of(index: Index, *terms: str) -> DataFrame:
@@ -27,4 +27,4 @@ def printed(index: Index, term: str) -> DataFrame:
 
 def listing(index: Index) -> DataFrame:
     """termid, term, df of all terms with postings."""
-    return dictionary(index).join(index.terms.select("term", "df"), "term").select("termid", "term", "df")
+    return numbered_terms(index).select("termid", "term", "df")

@@ -296,3 +296,34 @@ def test_whole_passages_become_queries(spark, tmp_path):
     scores = sorted((-round(sum(1.5 / (0.5 * (0.7 + 0.3 * len(text) / avg) + 1) * math.log((30 - df[t] + 0.5) / (df[t] + 0.5)) for t in text), 6), i) for i, text in enumerate(texts) if text)[:10]
     assert rows("wand_topk_whole") == [(q, i, pytest.approx(-s, abs=2e-6), n) for q in asked for i, s, n in sorted((i, s, n) for n, (s, i) in enumerate(scores, 1))]
     assert rows("topk_threshold_whole") == [(q, 10, pytest.approx(-scores[-1][0], abs=2e-6), scores[-1][1]) for q in asked]
+
+
+@pytest.fixture
+def apart(spark):
+    """Neither equal exchanges nor small tables nor parts put together save a plan."""
+    conf = {"spark.sql.exchange.reuse": "false", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for name, value in conf.items():
+        spark.conf.set(name, value)
+    yield spark
+    for name in conf:
+        spark.conf.unset(name)
+
+
+def test_dictionary_ids_when_no_exchange_is_reused(apart):
+    terms = sorted(random.Random(3).sample([f"{a}{b}" for a in "abcdefgh" for b in range(10000)], 30000))
+    table = apart.createDataFrame([(t, 9) for t in terms], "term string, df long")
+    found = index.Index(index.Mode.TF, 9, None, table, None, None)
+    assert sorted((r.termid, r.term) for r in index.dictionary(found).collect()) == list(enumerate(terms))
+    assert sorted(tuple(r) for r in inspect.listing(found).collect()) == [(i, t, 9) for i, t in enumerate(terms)]
+
+
+def test_no_token_moves_unless_docids_repeat(apart):
+    docs = apart.createDataFrame([(1, "b a b"), (2, ""), (3, "a"), (4, None)], "docid long, text string")
+    want = {"nonpositional": [("a", 1, 3), ("a", 3, 1), ("b", 1, 3)], "tf": [("a", 1, 3, 1), ("a", 3, 1, 1), ("b", 1, 3, 2)]}
+    want["positional"] = [(*r, p) for r, p in zip(want["tf"], ([1], [0], [0, 2]), strict=True)]
+    for mode, rows in want.items():
+        found = index.all_postings(docs, index.Mode(mode))
+        assert "Exchange" not in checks.text_of(found)
+        assert sorted(map(tuple, found.collect())) == rows
+    again = docs.union(apart.createDataFrame([(3, "a c")], "docid long, text string"))
+    assert sorted((r.term, r.docid, r.tf) for r in index.all_postings(again).collect()) == [("a", 1, 1), ("a", 3, 2), ("b", 1, 2), ("c", 3, 1)]
