@@ -327,3 +327,15 @@ def test_no_token_moves_unless_docids_repeat(apart):
         assert sorted(map(tuple, found.collect())) == rows
     again = docs.union(apart.createDataFrame([(3, "a c")], "docid long, text string"))
     assert sorted((r.term, r.docid, r.tf) for r in index.all_postings(again).collect()) == [("a", 1, 1), ("a", 3, 2), ("b", 1, 2), ("c", 3, 1)]
+
+
+def test_postings_stay_where_they_are_for_a_batch(apart):
+    docs = apart.createDataFrame([(i, "x " + "y " * (i % 3) + "z " * (i % 2)) for i in range(60)], "docid long, text string")
+    found = index.build(docs)
+    both = retrieve.intersection(found, "x", "y", "none")
+    assert {r.docid for r in both.collect()} == {i for i in range(60) if i % 3}
+    asked = batch(apart, ["x y z", "z none"])
+    all_of = retrieve.conjunctive(found, asked)
+    assert {(r.qid, r.docid) for r in all_of.collect()} == {(0, i) for i in range(60) if i % 3 and i % 2} | {(1, i) for i in range(1, 60, 2)}
+    for df in (found.postings, both, all_of, retrieve.thresholds(found, asked, 10), retrieve.disjunctive(found, asked, 10)):
+        assert "SortMergeJoin [term" not in checks.text_of(df)
