@@ -339,3 +339,10 @@ def test_postings_stay_where_they_are_for_a_batch(apart):
     assert {(r.qid, r.docid) for r in all_of.collect()} == {(0, i) for i in range(60) if i % 3 and i % 2} | {(1, i) for i in range(1, 60, 2)}
     for df in (found.postings, both, all_of, retrieve.thresholds(found, asked, 10), retrieve.disjunctive(found, asked, 10)):
         assert "SortMergeJoin [term" not in checks.text_of(df)
+
+
+def test_blocks_move_postings_as_arrays(spark):
+    postings = spark.createDataFrame([("a", d, 1, [0]) for d in range(300)], "term string, docid long, tf long, positions array<int>")
+    for df in (blocks.blocks(postings), blocks.stored(postings)):
+        assert "row_number" not in checks.text_of(df)
+    assert {(r.block_no, r.n) for r in blocks.blocks(postings).collect()} == {(0, 128), (1, 128), (2, 44)}
